@@ -10,8 +10,10 @@ phrases inside, wherever they stand.
 
 A fingerprint is a one-permutation sketch of the names in four sections (symbols,
 phrases of level 1, of level 2, of levels from 3), one byte a bin, in hexadecimal,
-00 for an empty bin. Likeness is the share of equal bins among those that either has, in the
-highest section that has enough of them.
+00 for an empty bin. A name that is repeated in a row counts as often as it is
+repeated, so a long stretch of one phrase weighs as much as its length. Likeness is
+the share of equal bins among those that either has, in the highest section of
+which both have enough.
 
 Null and empty texts have the empty fingerprint; two empty ones are alike (1),
 an empty one and another are not (0). Equal texts have equal fingerprints.
@@ -86,6 +88,18 @@ def _parse(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return _mix(np.add.reduceat(value, starts)), np.searchsorted(starts, first)
 
 
+def _places_in_runs(names: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """0 for the first of a run of equal names, then 1, 2 and so on."""
+    new = np.empty(len(names), bool)
+    new[0] = True
+    new[1:] = names[1:] != names[:-1]
+    new[first] = True
+    starts = np.flatnonzero(new)
+    if len(starts) == len(names):
+        return np.zeros(len(names), np.uint64)
+    return (np.arange(len(names)) - np.repeat(starts, np.diff(np.append(starts, len(names))))).astype(np.uint64)
+
+
 def sketches(texts: list[str]) -> np.ndarray:
     """(texts, bins) bytes of the fingerprints."""
     out = np.zeros((len(texts), sum(SECTIONS)), np.uint8)
@@ -111,8 +125,9 @@ def _sketch(texts: list[str]) -> np.ndarray:
         if level:
             names, first = _parse(names, first)
         section = min(level, len(SECTIONS) - 1)
+        again = _places_in_runs(names, first)
         owner = np.repeat(np.arange(len(texts)), np.diff(np.append(first, len(names))))
-        h = _mix(names ^ np.uint64(section + 1))
+        h = _mix(names ^ np.uint64(section + 1) ^ (again * _K2))
         bins = begin[section] + ((h >> np.uint64(40)) % np.uint64(SECTIONS[section])).astype(np.int64)
         flat = owner * least.shape[1] + bins
         np.minimum.at(least.reshape(-1), flat, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32))
@@ -127,11 +142,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Likeness of the rows of two arrays of sketches, 0 to 1."""
     out = (~a.any(axis=1) & ~b.any(axis=1)).astype(float)
     end = 0
-    for bins in SECTIONS:  # the highest section with enough bins stands
+    for bins in SECTIONS:  # the highest section of which both have enough stands
         x, y = a[:, end : end + bins], b[:, end : end + bins]
+        fewer = np.minimum((x > 0).sum(axis=1), (y > 0).sum(axis=1))
         either = ((x > 0) | (y > 0)).sum(axis=1)
         same = ((x == y) & (x > 0)).sum(axis=1)
-        take = (either >= ENOUGH) | ((either > 0) & (end == 0))
+        take = (fewer >= ENOUGH) | ((either > 0) & (end == 0))
         out = np.where(take, same / np.maximum(either, 1), out)
         end += bins
     return out
