@@ -22,6 +22,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from functools import cache
 
 import numpy as np
@@ -36,7 +37,7 @@ from millrace.session import scratch_path, share_code
 BLOCK = 256
 PERCENTILE = 95
 SEGMENT_IDS = 1 << 19
-MEMO_WORDS = 500_000
+MEMO_WORDS = 450_000  # in each of two generations
 _MAGIC = b"PFR1"
 _HEAD = struct.Struct("<4sIII")  # magic, ids, blocks, block size
 _BLOCK_HEAD = struct.Struct("<IBBH")  # minimum, width, 0, exceptions
@@ -125,8 +126,8 @@ def decode_segment(data: bytes) -> np.ndarray:
         chosen = np.flatnonzero(width == w)
         size = BLOCK // 8 * int(w)
         if w:
-            words = raw[starts[chosen][:, None] + 8 + np.arange(size)].copy().view("<u8")
-            out[chosen] = _unpack(words, int(w))
+            body = b"".join([data[s : s + size] for s in (starts[chosen] + 8).tolist()])
+            out[chosen] = _unpack(np.frombuffer(body, "<u8").reshape(len(chosen), -1), int(w))
         for block in chosen[count[chosen] > 0]:
             at, k = int(starts[block]) + 8 + size, int(count[block])
             high = np.frombuffer(data, "<u4", k, at + k).astype(np.uint64)
@@ -151,16 +152,71 @@ def read_block(data: bytes, block: int) -> np.ndarray:
 # --- texts to ids -----------------------------------------------------------
 
 #: Unicode White_Space, as the tokenizer's own pattern splits on it (fixed values).
-_WHITE = "\t-\r \x85\xa0  -     　"
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_MARKS = re.escape(".,!?;:|()[]{}#%&*$-/<>=+")
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it prints, else the next free one."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    free = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(free)) for b in range(256)]
+
+
+class _Words:
+    """Ids by word, for words after a space or for words after none; two generations of bounded size."""
+
+    def __init__(self, owner: WordMemo, space: str) -> None:
+        self.owner, self.space = owner, space
+        self.shown = space.translate(owner.letters)
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, word: str, once: dict[str, bytes]) -> None:
+        """A word goes into the memo; into ``once`` where it need not be kept: its stem is, or it is too long."""
+        if (ids := self.older.get(word)) is not None:
+            self.memo[word] = ids
+            return
+        owner = self.owner
+        got = owner.plain.fullmatch(word)
+        if got is None:
+            (once if len(word) > 200 else self.memo)[word] = owner.chunks([self.space + word])[0]
+            return
+        stem, marks = got.groups()
+        ids = self.memo.get(stem) or self.older.get(stem)
+        new = ids is None
+        if new:
+            shown = stem if stem.isascii() else stem.encode().decode("latin-1").translate(owner.letters)
+            ids = array("I", [t.id for t in owner.model.tokenize(self.shown + shown)]).tobytes()
+            (once if len(stem) > 200 else self.memo)[stem] = ids
+        if marks:
+            (once if new else self.memo)[word] = ids + owner.chunks([marks])[0]
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        got = list(map(self.memo.get, words))
+        if None in got:
+            if len(self.memo) > MEMO_WORDS:
+                self.older, self.memo = self.memo, {}
+            once: dict[str, bytes] = {}
+            memo = self.memo
+            for at, ids in enumerate(got):
+                if ids is None:
+                    word = words[at]
+                    if word not in memo:
+                        self._learn(word, once)
+                    got[at] = memo.get(word) or once[word]
+        return got
 
 
 class WordMemo:
     """The tokenizers library behind a memo by word.
 
-    A byte-level tokenizer cuts a text before each merge; its cuts at white space
+    A byte-level tokenizer cuts a text before it merges; its cuts at white space
     are made here by the same rule, so a word with its space has the same ids
-    alone and in its text, and each distinct word goes to the library once. Texts
-    with a special token go to the library whole.
+    alone and in its text, and each distinct word goes to the library once: a word
+    of letters is one piece and goes to the library's model, others to the whole
+    tokenizer. Texts with a special token go to the library whole.
     """
 
     def __init__(self, file: str) -> None:
@@ -168,28 +224,56 @@ class WordMemo:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
+        self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         kind = str(self.library.pre_tokenizer)
         self.by_word = self.library.normalizer is None and "ByteLevel(add_prefix_space=False" in kind and "use_regex=True" in kind
-        self.words = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]")
-        self.memo: dict[str, bytes] = {}
+        self.cut = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]")
+        self.other_white = re.compile(r"[^\S \n]")
+        self.plain = re.compile(f"([{_LETTERS}]+)([{_MARKS}]*)")
+        self.letters = str.maketrans({chr(b): c for b, c in enumerate(_byte_letters())})
+        self.by_chunk: dict[str, bytes] = {}
+        self.spaced, self.bare = _Words(self, " "), _Words(self, "")
+
+    def chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of pieces of text cut as the tokenizer cuts them at white space."""
+        memo = self.by_chunk
+        new = [c for c in dict.fromkeys(chunks) if c not in memo]
+        for c, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False) if new else []):
+            memo[c] = array("I", e.ids).tobytes()
+        out = [memo[c] for c in chunks]
+        if len(memo) > MEMO_WORDS // 4:
+            memo.clear()
+        for c in new:
+            if len(c) > 200:
+                memo.pop(c, None)
+        return out
+
+    def _single(self, x: str) -> bool:
+        """No white space but single spaces and single line feeds between other characters, or at an end."""
+        if "  " in x or "\n\n" in x or "\n " in x or " \n" in x:
+            return False
+        if x.isascii():
+            return not ("\t" in x or "\r" in x or "\v" in x or "\f" in x)
+        return self.other_white.search(x) is None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        memo, split = self.memo, []
+        out = []
         for x in texts:
-            whole = not self.by_word or any(s in x for s in self.special)
-            split.append(None if whole else self.words.findall(x))
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        new = list({w for words in split if words for w in words if w not in memo})
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False) if new else []):
-            memo[w] = np.array(e.ids, "<u4").tobytes()
-        get = memo.__getitem__
-        out = [np.array(self.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() if words is None else b"".join(map(get, words)) for x, words in zip(texts, split)]
-        for w in new:
-            if len(w) > 200:
-                memo.pop(w, None)
+            if not self.by_word or any(s in x for s in self.special):
+                out.append(array("I", self.library.encode(x, add_special_tokens=False).ids).tobytes())
+            elif not self._single(x):
+                out.append(b"".join(self.chunks(self.cut.findall(x))))
+            else:
+                parts: list[bytes] = []
+                for line in x.split("\n"):
+                    if parts:
+                        parts += self.chunks(["\n"])
+                    first, *words = line.split(" ")
+                    parts += self.bare.ids([first]) if first else [b""]
+                    parts += self.spaced.ids(words)
+                out.append(b"".join(parts))
         return out
 
 
