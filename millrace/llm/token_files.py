@@ -48,6 +48,8 @@ _BLOCK_HEAD = struct.Struct("<IBBH")  # minimum, width, 0, exceptions
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
     """(m, BLOCK) of ``width``-bit values to (m, BLOCK * width / 64) words."""
+    if width in (8, 16, 32):  # little-endian integers are packed already
+        return values.astype(f"<u{width // 8}").view("<u8")
     columns = np.ascontiguousarray(values.T).astype(np.uint64)
     out = np.zeros((BLOCK * width // 64, len(values)), np.uint64)
     for j in range(BLOCK):
@@ -59,6 +61,8 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _unpack(words: np.ndarray, width: int) -> np.ndarray:
+    if width in (8, 16, 32):
+        return np.ascontiguousarray(words).view(f"<u{width // 8}").astype(np.uint64)
     columns = np.ascontiguousarray(words.T)
     mask = np.uint64((1 << width) - 1)
     out = np.zeros((BLOCK, len(words)), np.uint64)
@@ -92,15 +96,16 @@ def encode_segment(ids: np.ndarray, percentile: int = PERCENTILE) -> bytes:
     for w in np.unique(width):
         chosen = np.flatnonzero(width == w)
         mine = rest[chosen]
-        body = _pack(mine & np.uint32((1 << int(w)) - 1), int(w)) if w else None
-        high = (mine.astype(np.uint64) >> np.uint64(w)).astype("<u4")
-        row, pos = np.nonzero(high)
+        body = _pack(mine & np.uint32((1 << int(w)) - 1), int(w)).astype("<u8", copy=False) if w else None
+        large = mine >> np.uint32(w) if w < 32 else np.zeros_like(mine)
+        row, pos = np.nonzero(large)
+        high = large.astype("<u4", copy=False)
         ends = np.searchsorted(row, np.arange(len(chosen) + 1))
         values = high[row, pos]
         for k, block in enumerate(chosen):
             a, b = ends[k], ends[k + 1]
             parts[block] = (
-                _BLOCK_HEAD.pack(int(low[block]), int(w), 0, b - a) + (body[k].astype("<u8").tobytes() if w else b"") + pos[a:b].astype(np.uint8).tobytes() + values[a:b].tobytes()
+                _BLOCK_HEAD.pack(int(low[block]), int(w), 0, b - a) + (body[k].tobytes() if w else b"") + pos[a:b].astype(np.uint8).tobytes() + values[a:b].tobytes()
             )
     sizes = np.array([len(p) for p in parts], np.int64)
     index = (_HEAD.size + 4 * blocks + np.concatenate([[0], np.cumsum(sizes)[:-1]])).astype("<u4")
@@ -128,10 +133,12 @@ def decode_segment(data: bytes) -> np.ndarray:
         if w:
             body = b"".join([data[s : s + size] for s in (starts[chosen] + 8).tolist()])
             out[chosen] = _unpack(np.frombuffer(body, "<u8").reshape(len(chosen), -1), int(w))
-        for block in chosen[count[chosen] > 0]:
-            at, k = int(starts[block]) + 8 + size, int(count[block])
-            high = np.frombuffer(data, "<u4", k, at + k).astype(np.uint64)
-            out[block, raw[at : at + k]] |= high << np.uint64(w)
+        odd = chosen[count[chosen] > 0]
+        if len(odd):
+            spots = list(zip((starts[odd] + 8 + size).tolist(), count[odd].tolist()))
+            pos = np.frombuffer(b"".join([data[at : at + k] for at, k in spots]), np.uint8)
+            high = np.frombuffer(b"".join([data[at + k : at + 5 * k] for at, k in spots]), "<u4")
+            out[np.repeat(odd, count[odd]), pos] |= high.astype(np.uint64) << np.uint64(w)
     return (out + low[:, None]).astype(np.uint32).ravel()[:n]
 
 
