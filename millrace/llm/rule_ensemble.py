@@ -29,35 +29,36 @@ THRESHOLD = 0.3
 TREES, DEPTH, BINS = 24, 3, 32
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Shares and means of a text; 0 where there is nothing to count."""
+def statistics(text: Column) -> Column:
+    """A struct of shares and means of a text; 0 where there is nothing to count. The text is split once."""
+
+    def of(cut: Column) -> Column:
+        text, words, lines = cut["text"], cut["words"], cut["lines"]
+        chars = F.length(text).cast("double")
+        share = lambda pattern: F.when(chars > 0, F.regexp_count(text, F.lit(pattern)) / chars).otherwise(0.0)
+        distinct = lambda a: F.size(F.array_distinct(a)) / F.size(a)
+        return F.struct(
+            F.log1p(chars).alias("log_chars"),
+            share(r"\p{Lu}").alias("upper"),
+            share("[0-9]").alias("digits"),
+            share(r"[#$%&*+<=>@\[\\\]^_{}~]").alias("symbols"),
+            share("[!?]").alias("bangs"),
+            share("[|]").alias("bars"),
+            share("[.,]").alias("stops"),
+            share("\n").alias("line_feeds"),
+            share("[/:;()\"'-]").alias("slashes"),
+            distinct(words).alias("distinct_words"),
+            distinct(lines).alias("distinct_lines"),
+            F.log1p(F.size(words).cast("double")).alias("words"),
+            (chars / F.size(words)).alias("word_length"),
+        )
+
     text = F.coalesce(text, F.lit(""))
-    chars = F.length(text).cast("double")
-    words = F.split(text, r"[\x20\x09-\x0D]+")
-    lines = F.split(text, "\n")
-    left = lambda drop: chars - F.length(F.translate(text, drop, ""))
-    share = lambda n: F.when(chars > 0, n / chars).otherwise(0.0)
-    upper = F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))
-    distinct = lambda a: F.size(F.array_distinct(a)) / F.size(a)
-    return {
-        "log_chars": F.log1p(chars),
-        "upper": share(upper),
-        "digits": share(left("0123456789")),
-        "symbols": share(left("#$%&*+<=>@[\\]^_{}~")),
-        "bangs": share(left("!?")),
-        "bars": share(left("|")),
-        "stops": share(left(".,")),
-        "spaces": share(left(" ")),
-        "lines": share(left("\n")),
-        "slashes": share(left("/:;()\"'-")),
-        "distinct_words": distinct(words).cast("double"),
-        "distinct_lines": distinct(lines).cast("double"),
-        "words": F.log1p(F.size(words).cast("double")),
-    }
-
-
-def with_statistics(docs: DataFrame, text_col: str = "text", prefix: str = "__q_") -> DataFrame:
-    return docs.select("*", *[c.alias(prefix + name) for name, c in statistics(F.col(text_col)).items()])
+    cut = F.struct(text.alias("text"), F.split(text, r"[\x20\x09-\x0D]+").alias("words"), F.split(text, "\n").alias("lines"))
+    return F.element_at(F.transform(F.array(cut), of), 1)
+
+
+NAMES = ("log_chars", "upper", "digits", "symbols", "bangs", "bars", "stops", "line_feeds", "slashes", "distinct_words", "distinct_lines", "words", "word_length")
 
 
 # --- trees and rules --------------------------------------------------------
@@ -76,10 +77,10 @@ class Rule:
             out &= (v > bound) if above else (v <= bound)
         return out
 
-    def column(self, prefix: str) -> Column:
+    def column(self, stats: Column) -> Column:
         out = F.lit(True)
         for name, above, bound in self.terms:
-            out = out & ((F.col(prefix + name) > bound) if above else (F.col(prefix + name) <= bound))
+            out = out & ((stats[name] > bound) if above else (stats[name] <= bound))
         return out
 
 
@@ -154,12 +155,16 @@ class RuleEnsemble:
     intercept: float
     rules: list[tuple[Rule, float]]
 
-    def score(self, prefix: str = "__q_") -> Column:
-        """Probability of label 1 as a column over the statistics columns."""
-        margin = F.lit(self.intercept)
-        for rule, weight in self.rules:
-            margin = margin + F.when(rule.column(prefix), F.lit(weight)).otherwise(0.0)
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+    def score(self, text: Column) -> Column:
+        """Probability of label 1. The statistics are bound once, so no rule evaluates them again wherever the optimizer moves the expression."""
+
+        def of(stats: Column) -> Column:
+            margin = F.lit(self.intercept)
+            for rule, weight in self.rules:
+                margin = margin + F.when(rule.column(stats), F.lit(weight)).otherwise(0.0)
+            return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+
+        return F.element_at(F.transform(F.array(statistics(text)), of), 1)
 
 
 def fit_ensemble(x: np.ndarray, y: np.ndarray, names: list[str], penalty: float = 0.002, seed: int = 8) -> RuleEnsemble:
@@ -179,19 +184,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     usable = usable.groupBy(F.col(id_col).alias("__label_id")).agg(F.max(label_col).alias("__label"))
     sample = usable.orderBy(F.xxhash64("__label_id"), "__label_id").limit(max_rows)
     known = docs.select(id_col, text_col).join(F.broadcast(sample), docs[id_col] == sample["__label_id"])  # max_rows small rows
-    names = list(statistics(F.lit("")))
-    got = with_statistics(known, text_col).select("__label", *[f"__q_{n}" for n in names]).limit(2 * max_rows).toPandas()
+    names = list(NAMES)
+    got = known.select("__label", statistics(F.col(text_col)).alias("__q")).limit(2 * max_rows).select("__label", *[f"__q.{n}" for n in names]).toPandas()
     got = got.sort_values(list(got.columns), ignore_index=True)  # the order of arrival doesn't matter
     return fit_ensemble(got.iloc[:, 1:].to_numpy(float), got["__label"].to_numpy(float), names)
 
 
 def scored(docs: DataFrame, model: RuleEnsemble, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
-    rows = with_statistics(docs.select(F.col(id_col).alias("doc_id"), text_col), text_col)
-    score = model.score()
-    return rows.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), score.alias("score")).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), model.score(F.col(text_col)).alias("score"))
+    return rows.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
 def keep_good(docs: DataFrame, model: RuleEnsemble, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are not rejected; all columns stay."""
-    return with_statistics(docs, text_col).where(model.score() >= threshold).select(*docs.columns)
+    return docs.where(model.score(F.col(text_col)) >= threshold)
