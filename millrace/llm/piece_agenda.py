@@ -7,8 +7,9 @@ byte pieces. No piece spans the start of a word (checked when the vocabulary is
 loaded), so the agenda runs once per distinct word and the result is kept in a
 bounded memo.
 
-Every text's ids and decoded text are compared with the sentencepiece library in
-the same Arrow batch. Where they differ, the library's are returned and
+In each Arrow batch, every word that enters the memo and every decoded text is
+compared with the sentencepiece library; a vocabulary whose pieces span words is
+compared text by text. Where they differ, the library's are returned and
 ``agrees`` is false, so results are the library's in any case.
 
 Null texts are encoded as empty texts. Repeated rows are encoded alike; other
@@ -18,20 +19,53 @@ columns are not read. Very long texts are held one at a time.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from array import array
 from functools import cache
+from heapq import heapify, heappop, heappush
+from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from millrace.session import share_code
 
 SPACE = "▁"
-MEMO_WORDS = 400_000
-_TEXTS_AT_ONCE = 1 << 21  # characters given to the library at a time
+MEMO_WORDS = 300_000  # in each of two generations
+_TEXTS_AT_ONCE = 1 << 19  # bytes given to the library at a time
+
+
+class _Words:
+    """Ids by word; two generations of bounded size. Every word that is not there yet is encoded by the agenda and by the library."""
+
+    def __init__(self, encode, library) -> None:
+        self.encode, self.library = encode, library
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.wrong: set[str] = set()  # words for which the two differ; the library's ids stand
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        got = {w: self.encode(w) for w in words}
+        for w, ids in zip(words, self.library(words)):
+            if got[w] != ids:
+                self.wrong.add(w)
+                got[w] = ids
+        return got
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        got = list(map(self.memo.get, words))
+        if None in got:
+            if len(self.memo) > MEMO_WORDS:
+                self.older, self.memo = self.memo, {}
+            memo, older = self.memo, self.older
+            missing = [w for w, ids in zip(words, got) if ids is None]
+            new = {w: older[w] if w in older else None for w in missing if w not in memo}
+            new |= self._learn([w for w, ids in new.items() if ids is None])
+            memo.update((w, ids) for w, ids in new.items() if len(w) <= 200)
+            got = [new.get(w) or memo[w] if ids is None else ids for w, ids in zip(words, got)]
+        return got
 
 
 class PieceAgenda:
@@ -44,18 +78,22 @@ class PieceAgenda:
         size = sp.get_piece_size()
         plain = [k for k in range(size) if not (sp.is_control(k) or sp.is_unknown(k) or sp.is_byte(k) or sp.is_unused(k))]
         self.ids = {sp.id_to_piece(k): k for k in plain}
-        self.score = {p: -sp.get_score(k) for p, k in self.ids.items() if len(p) > 1}  # smallest first
+        order = {x: k for k, x in enumerate(sorted({-sp.get_score(k) for k in plain}))}
+        self.score = {p: order[-sp.get_score(k)] for p, k in self.ids.items() if len(p) > 1}  # places by score, best first
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.has_bytes = all(sp.is_byte(k) for k in self.byte_ids)
         self.unknown, self.begin, self.end = sp.unk_id(), sp.bos_id(), sp.eos_id()
         probe = " a  b\t　ﬁ Å\n"
         self.as_is = sp.normalize(probe) == SPACE + probe.replace(" ", SPACE)
         splits = not any(SPACE in p.lstrip(SPACE) for p in self.score)
-        own_line = not any("\n" in p for p in self.score)
-        stop = SPACE + ("\n" if own_line else "")
-        self.words = re.compile(f"{SPACE}+[^{stop}]*|[^{stop}]+|\n" if splits else r"(?s).+")
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.by_line = self.as_is and splits and not any("\n" in p for p in self.score)
+        self.words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if splits else r"(?s).+")
+        self.line = self.encode_word("\n")
+        self.spaced = _Words(lambda w: self.encode_word(SPACE + w), lambda words: self._lines(" ", words))
+        self.bare = _Words(self.encode_word, lambda words: self._lines("", words))
+        # A text begins as if after a space, so the library sees a run of spaces without its first.
+        self.runs = _Words(self.encode_word, lambda words: [array("I", sp.encode(w[1:].replace(SPACE, " ")) or [sp.piece_to_id(SPACE)]).tobytes() for w in words])
+        self.whole = not (self.as_is and splits)
         self.pieces = [self._piece_bytes(k) for k in range(size)]
         self.ends = (np.array([self.begin], "<u4").tobytes(), np.array([self.end], "<u4").tobytes())
 
@@ -68,38 +106,51 @@ class PieceAgenda:
             return " ⁇ ".encode()
         return self.library.id_to_piece(k).replace(SPACE, " ").encode()
 
+    def _lines(self, prefix: str, words: list[str]) -> list[bytes]:
+        """The library's ids of words without a line feed, given to it one a line."""
+        raw = array("I", self.library.encode("".join(["\n" + prefix + w for w in words]))).tobytes()
+        cuts = np.flatnonzero(np.frombuffer(raw, "<u4") == np.frombuffer(self.line, "<u4")[0]).tolist()
+        return [raw[4 * a + 4 : 4 * b] for a, b in zip(cuts, [*cuts[1:], len(raw) // 4])]
+
     def merge(self, word: str) -> list[str]:
         """The symbols of a word after all merges."""
-        score, symbols = self.score, list(word)
+        get, symbols = self.score.get, list(word)
         last = len(symbols) - 1
+        if last < 1:
+            return symbols
+        # An entry is one integer, the place of the score, then the position.
+        shift = last.bit_length()
+        mask = (1 << shift) - 1
         before, after = list(range(-1, last)), list(range(1, last + 2))
-        agenda = []
-        for k in range(last):
-            pair = symbols[k] + symbols[k + 1]
-            if (s := score.get(pair)) is not None:
-                agenda.append((s, k, pair))
-        heapq.heapify(agenda)
+        agenda = [s << shift | k for k, s in enumerate(map(get, map(add, symbols, symbols[1:]))) if s is not None]
+        heapify(agenda)
         while agenda:
-            _, k, pair = heapq.heappop(agenda)
+            entry = heappop(agenda)
+            k = entry & mask
             right = after[k]
-            if not symbols[k] or right > last or symbols[k] + symbols[right] != pair:
+            if right > last or not symbols[k]:
+                continue
+            pair = symbols[k] + symbols[right]
+            if get(pair) != entry >> shift:
                 continue
             symbols[k], symbols[right] = pair, ""
             after[k] = right = after[right]
             if right <= last:
                 before[right] = k
-                joined = pair + symbols[right]
-                if (s := score.get(joined)) is not None:
-                    heapq.heappush(agenda, (s, k, joined))
-            if (left := before[k]) >= 0:
-                joined = symbols[left] + pair
-                if (s := score.get(joined)) is not None:
-                    heapq.heappush(agenda, (s, left, joined))
+                if (s := get(pair + symbols[right])) is not None:
+                    heappush(agenda, s << shift | k)
+            if (left := before[k]) >= 0 and (s := get(symbols[left] + pair)) is not None:
+                heappush(agenda, s << shift | left)
         return [x for x in symbols if x]
 
     def encode_word(self, word: str) -> bytes:
+        symbols = self.merge(word)
+        try:
+            return array("I", map(self.ids.__getitem__, symbols)).tobytes()
+        except KeyError:
+            pass
         out: list[int] = []
-        for symbol in self.merge(word):
+        for symbol in symbols:
             k = self.ids.get(symbol)
             if k is not None:
                 out.append(k)
@@ -111,25 +162,25 @@ class PieceAgenda:
 
     def encode(self, text: str) -> bytes:
         """Ids with begin and end, as little-endian unsigned 32-bit integers."""
-        body = b""
-        if text:
-            memo = self.memo
-            normal = SPACE + text.replace(" ", SPACE) if self.as_is else self.library.normalize(text)
-            words = self.words.findall(normal)
-            try:
-                body = b"".join(map(memo.__getitem__, words))
-            except KeyError:
-                if len(memo) > MEMO_WORDS:  # words met again move on to the next generation
-                    self.older, memo = memo, {}
-                    self.memo = memo
-                older = self.older.get
-                for w in words:
-                    if w not in memo:
-                        memo[w] = older(w) or self.encode_word(w)
-                body = b"".join(map(memo.__getitem__, words))
-                for w in [w for w in words if len(w) > 200]:
-                    memo.pop(w, None)
-        return self.ends[0] + body + self.ends[1]
+        if not text:
+            return self.ends[0] + self.ends[1]
+        parts = [self.ends[0]]
+        if self.by_line and "  " not in text and text[0] != " " and SPACE not in text:
+            lead, *lines = text.split("\n")
+            parts += self.spaced.ids(lead.split(" "))  # a text begins as if after a space
+            for line in lines:
+                first, *words = line.split(" ")
+                parts.append(self.line)
+                if first:
+                    parts += self.bare.ids([first])
+                parts += self.spaced.ids(words)
+        else:
+            if self.whole:
+                parts.append(self.encode_word(self.library.normalize(text)))
+            else:
+                parts += self.runs.ids(self.words.findall(SPACE + text.replace(" ", SPACE)))
+        parts.append(self.ends[1])
+        return b"".join(parts)
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.pieces.__getitem__, ids))
@@ -143,12 +194,19 @@ def agenda(model_file: str) -> PieceAgenda:
 
 def _checked(coder: PieceAgenda, texts: list[str]):
     """(ids as bytes, decoded text, agrees) of each text."""
-    want = coder.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
-    back = coder.library.decode(want, num_threads=1)
-    for text, ids, decoded in zip(texts, want, back):
-        packed = np.array(ids, "<u4").tobytes()
-        agrees = coder.encode(text) == packed and coder.decode(ids) == decoded
-        yield packed, decoded, agrees
+    packed = [coder.encode(x) for x in texts]
+    if coder.whole:
+        want = [array("I", x).tobytes() for x in coder.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)]
+    else:
+        want = packed  # its words are the library's
+    memos = (coder.spaced, coder.bare, coder.runs)
+    differ = any(m.wrong for m in memos)
+    ids = [np.frombuffer(x, "<u4").tolist() for x in want]
+    for text, mine, got, one, decoded in zip(texts, packed, want, ids, coder.library.decode(ids, num_threads=1)):
+        agrees = mine == got and coder.decode(one) == decoded
+        if differ:
+            agrees = agrees and got == array("I", coder.library.encode(text, add_bos=True, add_eos=True)).tobytes() and not any(w in text for m in memos for w in m.wrong)
+        yield got, decoded, agrees
 
 
 def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
@@ -157,14 +215,15 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
     def run(batches):
         coder = agenda(model_file)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
             at = 0
-            while at < len(texts):
+            while at < len(sizes):
                 to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= _TEXTS_AT_ONCE):
-                    size += len(texts[to])
+                while to < len(sizes) and (to == at or size + sizes[to] <= _TEXTS_AT_ONCE):
+                    size += sizes[to]
                     to += 1
-                rows = list(_checked(coder, texts[at:to]))
+                texts = [x or "" for x in batch.column(1).slice(at, to - at).to_pylist()]
+                rows = list(_checked(coder, texts))
                 columns = [
                     batch.column(0).slice(at, to - at),
                     pa.array([len(r[0]) // 4 for r in rows], pa.int64()),
