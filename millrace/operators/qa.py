@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.session import share_code
 
@@ -71,7 +72,7 @@ def complete(df: DataFrame, prompt: str, client: Callable[[], Callable[[str], st
     ``client`` makes a function prompt -> reply on the worker; ``qps`` is shared out evenly over the partitions.
     """
     share_code(df.sparkSession)
-    schema = df.schema.add(out, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
     gap = df.rdd.getNumPartitions() / qps if qps else 0.0
 
     def run(batches):

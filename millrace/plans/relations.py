@@ -100,10 +100,12 @@ def pass_rate(spark, sf_dir):
     return got.select("event_type", "passed", F.round(100 * metrics.ratio(F.col("passed"), F.col("n")), 6).alias("rate"))
 
 
-@query("request_gaps", "select event_id, cast(epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) as bigint) as gap_us from events")
+@query("request_gaps", "select event_id, coalesce(cast(floor(epoch(ts)) - floor(epoch(lag(ts) over (partition by user_id order by ts, event_id))) as bigint), -1) as gap_s from events")
 def request_gaps(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag(F.col("ts").cast("timestamp")).over(w))).alias("gap_us"))
+    seconds = lambda c: F.unix_seconds(c.cast("timestamp"))
+    gap = seconds(F.col("ts")) - seconds(F.lag("ts").over(w))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(gap, F.lit(-1)).alias("gap_s"))
 
 
 @query("route_formats", "select page_id, lower(regexp_extract(url || '.PDF', '\\.([A-Za-z0-9]+)$', 1)) as extension, 'pdf' as kind from pages")
