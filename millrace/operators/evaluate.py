@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.filters import bound
+
 
 def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
@@ -20,8 +22,8 @@ def rouge_n(df: DataFrame, key: str, candidate: str, reference: str, n: int = 1)
     """(key, precision, recall, f1) of clipped n-gram overlap, by one aggregation; no pair of tokens is formed."""
 
     def grams(column: str, side: str) -> DataFrame:
-        words = tokens(F.col(column))
-        spans = F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda k: F.array_join(F.slice(words, k, n), " "))).otherwise(F.array().cast("array<string>"))
+        none = F.array().cast("array<string>")
+        spans = bound(tokens(F.col(column)), lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda k: F.array_join(F.slice(w, k, n), " "))).otherwise(none))
         return df.select(key, F.explode(spans).alias("gram"), F.lit(side).alias("side"))
 
     both = grams(candidate, "c").unionByName(grams(reference, "r"))
