@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import chroma, golay_dedup, language_codes, local_parsing, mixing, piece_agenda, rule_ensemble, secret_automaton, token_files, warc
+from millrace.llm import chroma, golay_dedup, golay_wide, language_codes, local_parsing, mixing, piece_agenda, rule_ensemble, secret_automaton, token_files, warc
 from millrace.llm import queries as llm
 
 SF = "/root/testdata/sf0.001"
@@ -36,7 +36,7 @@ def docs_of(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
-@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op6", "op7", "op8", "op9", "op10"])
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op6", "op7", "wide", "op8", "op9", "op10"])
 def test_odd_and_empty_tables(spark, odd, empty, name):
     labels = spark.createDataFrame([(2, 1), (3, 0), (None, 1), (4, None)], "doc_id long, quality int")
     run = {
@@ -46,6 +46,7 @@ def test_odd_and_empty_tables(spark, odd, empty, name):
         "op4": lambda d: token_files.token_files(d, BYTES),
         "op6": lambda d: secret_automaton.scan_secrets(d),
         "op7": golay_dedup.near_duplicates,
+        "wide": golay_wide.near_duplicates,
         "op8": lambda d: rule_ensemble.scored(d, rule_ensemble.fit(d, labels)),
         "op9": mixing.mix,
         "op10": local_parsing.compare_with_edits,
@@ -81,6 +82,31 @@ def test_components_of_documents(spark):
     assert [smallest[k] for k in label] == got.component_id.tolist()
 
 
+def test_wide_links_against_all_pairs(spark):
+    """Edited words in random texts: every pair of similarity 0.85 or more is linked (nineteen in twenty must be), none below 0.6."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(300)]
+    texts = []
+    for _ in range(40):
+        base = rng.choices(words, k=rng.randint(60, 400))
+        for edits in (0, 1, 2, 4, 8):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), edits):
+                copy[at] = "changed"
+            texts.append(" ".join(copy))
+    sets = [set(golay_wide._shingle_hashes(t, 5).tolist()) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (1 << 16, 3):  # the second cuts keys into blocks
+        got = dict(golay_wide.near_duplicates(docs, block=block).toPandas().itertuples(index=False))
+        like = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(texts)) for j in range(i)}
+        close = [got[i] == got[j] for (i, j), x in like.items() if x >= 0.85]
+        assert len(close) > 50 and sum(close) >= 0.95 * len(close)
+        for i in range(len(texts)):
+            same = [j for j in range(len(texts)) if j != i and got[j] == got[i]]
+            assert not same or max(like[max(i, j), min(i, j)] for j in same) >= 0.6
+    assert golay_wide.keep_one(docs).count() == len(set(got.values()))
+
+
 def test_secrets_against_re():
     pats = [(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 1), (r"AKIA[A-Z0-9]+", 18, 0), (r"[0-9a-f]+", 16, 0)]
     words = ["password", "SECRET", "token", "api_key", "ApiKEY", '"', "'", " ", ":", "=", "AKIA", "ABCDEF0123", "deadbeef", "abcdefgh", "é", "\n", ".", "/", "中", ",", "0123456789abcdef0"]
