@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -228,6 +229,53 @@ def test_chroma_alignment(spark):
     assert got[4].aligned_to is None and got[5].n_ints == 0
 
 
+def best_alignments(media):
+    """Each recording's best alignment with an earlier one, by comparing all pairs: id -> (to, offset, votes, error)."""
+    ints, classes = {k: chroma.fingerprint(v) for k, v in media.items()}, {}
+    for k in sorted(ints):
+        if len(ints[k]):
+            classes.setdefault(ints[k].tobytes(), k)
+    picked = {k: dict(zip(*(x.tolist() for x in chroma._picked(ints[k])[::-1]))) for k in classes.values()}
+    best = {}
+    for c in classes.values():
+        for to in (x for x in classes.values() if x < c):
+            votes = Counter(picked[c][key] - picked[to][key] for key in picked[c].keys() & picked[to].keys())
+            if not votes:
+                continue
+            offset, n = min(votes.items(), key=lambda x: (-x[1], abs(x[0]), x[0]))
+            error, overlap = chroma.bit_error(ints[c], ints[to], offset)
+            if n >= chroma.MIN_VOTES and error <= chroma.MAX_BIT_ERROR and overlap >= chroma.MIN_OVERLAP:
+                best[c] = min(best.get(c, (0,)), (-n, to, offset, error))
+    return {k: best.get(classes.get(ints[k].tobytes())) for k in ints}
+
+
+def test_chroma_alignment_against_all_pairs(spark):
+    """Recordings built of passages that others held first, near copies of one another, and one passage in all of one group."""
+    rng = np.random.default_rng(7)
+    sound = lambda n: rng.integers(0, 256, 32 * n, dtype=np.uint8)
+    p, q, own = sound(120), sound(105), sound(75)
+    noise = lambda x: np.concatenate([x[: 32 * 100], rng.integers(0, 256, 32 * 5, dtype=np.uint8), x[32 * 105 :]])
+    whole = np.concatenate([p, q, own])
+    rows = {1: np.concatenate([p, sound(200)]), 2: np.concatenate([sound(180), q]), 3: whole, 4: noise(whole)}
+    # Nearly all keys of 12 have another first holder, so 13 and 14 find it only beyond the first holders.
+    p, q = sound(120), sound(105)
+    rows |= {10: np.concatenate([p, sound(160)]), 11: np.concatenate([sound(160), q]), 12: np.concatenate([p, q]), 13: np.concatenate([p, q, sound(20)]), 14: np.concatenate([sound(10), p, q])}
+    common = sound(60)
+    rows |= {20 + k: np.concatenate([sound(int(rng.integers(40, 90))), common, sound(70)]) for k in range(12)}
+    rows |= {40 + k: noise(np.concatenate([rows[20 + k], sound(5 * k)])) for k in range(0, 12, 2)}
+    base = sound(150)
+    for k in range(12):
+        at = int(rng.integers(0, 140))
+        base = np.concatenate([base[: 32 * at], sound(4), base[32 * (at + 4) :]])
+        rows[60 + k] = base
+    rows |= {80: rows[4], 81: np.empty(0, np.uint8)}
+    media = {k: x.tobytes() for k, x in rows.items()}
+    want = best_alignments(media)
+    got = chroma.align(spark.createDataFrame(list(media.items()), "id long, media binary"), "id", "media").collect()
+    assert {r.rec_id: r.aligned_to and (-r.votes, r.aligned_to, r.offset, r.bit_error) for r in got} == want
+    assert want[4][1] == 3 and want[13][1] == want[14][1] == 12 and sum(x is not None for x in want.values()) > 15
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
