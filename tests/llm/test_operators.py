@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,21 @@ def test_wide_links_against_all_pairs(spark):
     assert golay_wide.keep_one(docs).count() == len(set(got.values()))
 
 
+def test_blocks_of_large_keys_across_batches():
+    """Blocks are numbered, hold at most ``block`` rows of one key, and so two of them are never cut again."""
+    for sizes in ((1, 23, 2), (9, 30), (40,), (3, 3, 25, 1, 26)):
+        rows = np.array([(k, n) + (0,) * golay_wide.CHECK_WORDS for k, n_rows in enumerate(sizes) for n in range(n_rows)], np.int64)
+        for step in (1, 4, 7, 10, 100):
+            batches = [pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows[at : at + step].T], golay_wide._COLUMNS) for at in range(0, len(rows), step)]
+            pieces = list(golay_wide._pieces(batches, 3))
+            assert (np.concatenate([x for x, _ in pieces]) == rows).all()
+            for key in range(len(sizes)):
+                blocks = [(n, len(x)) for x, n in pieces if n is not None and x[0, 0] == key]
+                assert [n for n, _ in blocks] == list(range(len(blocks))) and all(size <= 3 for _, size in blocks)
+                whole = {n is None for x, n in pieces if (x[:, 0] == key).any()}
+                assert len(whole) == 1 and all(len(set(x[:, 0])) == 1 for x, n in pieces if n is not None)
+
+
 def test_secrets_against_re():
     pats = [(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 1), (r"AKIA[A-Z0-9]+", 18, 0), (r"[0-9a-f]+", 16, 0)]
     words = ["password", "SECRET", "token", "api_key", "ApiKEY", '"', "'", " ", ":", "=", "AKIA", "ABCDEF0123", "deadbeef", "abcdefgh", "é", "\n", ".", "/", "中", ",", "0123456789abcdef0"]
