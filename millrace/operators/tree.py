@@ -5,18 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import settle
 
-def paths(nodes: DataFrame, most_depth: int = 32) -> DataFrame:
-    """(node_id, label, path, depth) by level-wise joins until a level is empty."""
+#: Levels after which the paths so far are written, and their number is held against the number of nodes.
+_LEVELS_AT_ONCE = 32
+
+
+def paths(nodes: DataFrame, most_depth: int | None = None) -> DataFrame:
+    """(node_id, label, path, depth) by level-wise joins until a level is empty; an error where a node is below itself, or at ``most_depth`` or more."""
     level = nodes.where("parent_id is null").select("node_id", "label", F.col("label").alias("path"), F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, most_depth):
+    out, depth, most = level, 0, None
+    while True:
+        depth += 1
         up = level.select(F.col("node_id").alias("up_id"), F.col("path").alias("up_path"))
         level = nodes.join(up, nodes.parent_id == up.up_id).select("node_id", "label", F.concat_ws("/", "up_path", "label").alias("path"), F.lit(depth).alias("depth"))
+        level = settle(level, "tree-level")
         if level.isEmpty():
-            break
+            return out
+        if most_depth is not None and depth >= most_depth:
+            raise ValueError(f"the tree has nodes at depth {most_depth}")
         out = out.unionByName(level)
-    return out
+        if depth % _LEVELS_AT_ONCE == 0:
+            most = nodes.count() if most is None else most
+            if depth >= most:
+                raise ValueError("the tree has a cycle")
+            out = settle(out, "tree-levels")
 
 
 def add(nodes: DataFrame, node_id, parent_id, label: str) -> DataFrame:

@@ -65,6 +65,17 @@ def test_tree(spark):
     assert [r.label for r in tree.remove(nodes, 2).collect()] == ["A"]
 
 
+def test_deep_tree(spark):
+    schema = "node_id long, parent_id long, label string, ordinal int"
+    chain = [(k, k - 1 if k else None, f"n{k}", 0) for k in range(40)]
+    got = {r.node_id: r for r in tree.paths(spark.createDataFrame(chain, schema)).collect()}
+    assert len(got) == 40 and got[39].depth == 39 and got[39].path == "/".join(f"n{k}" for k in range(40))
+    with pytest.raises(ValueError):
+        tree.paths(spark.createDataFrame(chain[:3], schema), 2)
+    with pytest.raises(ValueError):
+        tree.paths(spark.createDataFrame([(1, None, "A", 0), (2, 1, "B", 0), (1, 2, "A", 0)], schema))
+
+
 def test_scores(spark):
     assert evaluate.bleu("a b c d e", ["a b c d e"]) == pytest.approx(100)
     assert evaluate.diversity(["a b"]) == 0.0
