@@ -115,7 +115,7 @@ _PEAK_SQL = "with p as (select doc_id, unnest(list_transform(range(1, len(text),
 
 @query("filter_repetition", f"select doc_id, share::double as share, share <= 0.6 as kept from ({_PEAK_SQL})")
 def filter_repetition(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("length(text) >= 2")
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", filters.bigram_peak(F.col("text")).alias("share"), filters.few_repeats(F.col("text")).alias("kept"))
 
 
@@ -131,7 +131,7 @@ def filter_numeric(spark, sf_dir):
 
 @query("quality_gate", r"select doc_id, len(text) >= 50 and len(regexp_extract_all(text, '[\x20-\x7E\n\r\t\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}]')) / len(text) >= 0.7 as kept from documents where len(text) > 0")
 def quality_gate(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", filters.readable(F.col("text")).alias("kept"))
+    return table(spark, sf_dir, "documents").select("doc_id", filters.readable(F.col("text")).alias("kept"))
 
 
 _KEPT = f"with s as ({_PEAK_SQL}) select d.doc_id, d.text from documents d join s using (doc_id) where share <= 0.6 and len(d.text) between 30 and 500000"

@@ -31,3 +31,11 @@ def test_query(spark, db, name):
         assert got.count() >= 0 and got.columns
     else:
         assert rows(got.toPandas()) == rows(db.sql(sql).df())
+
+
+def test_filters_keep_a_row_for_every_text(spark, tmp_path):
+    texts = [(1, None), (2, ""), (3, "a"), (4, "The quick brown fox jumps over the lazy dog, and it comes back.")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("filter_repetition", "quality_gate"):
+        got = catalogue.queries()[name](spark, str(tmp_path)).collect()
+        assert {r.doc_id: r.kept for r in got} == {1: False, 2: False, 3: False, 4: True}, name
