@@ -11,6 +11,8 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 DASHED = r"[0-9]+-[0-9]+-[0-9]+"
 CARD = r"\b([0-9]{4}[ -]?){3}[0-9]{1,7}\b"
 PHONE = r"\b1[3-9][0-9]{9}\b"
+#: Area code in parentheses or before one hyphen or space; without a mark between, digits are too often something else.
+LANDLINE = r"(\(0[1-9][0-9]{1,2}\) ?|\b0[1-9][0-9]{1,2}[- ])[2-8][0-9]{6,7}\b"
 QQ = r"(QQ|qq)[ :]{0,3}[1-9][0-9]{4,10}"
 ID_CARD = r"\b[1-9][0-9]{16}[0-9Xx]\b"
 
@@ -43,7 +45,8 @@ def replace_bank_id(c: Column, token: str = "<CARD>") -> Column:
 
 
 def replace_phone_number(c: Column, token: str = "<PHONE>") -> Column:
-    return F.regexp_replace(c, PHONE, token)
+    """Mobile and landline numbers."""
+    return F.regexp_replace(F.regexp_replace(c, PHONE, token), LANDLINE, token)
 
 
 def replace_qq(c: Column, token: str = "<QQ>") -> Column:

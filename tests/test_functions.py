@@ -23,6 +23,8 @@ def one(spark, f, value):
         (clean.simplify_chinese, "漢語", "汉语"),
         (privacy.replace_bank_id, "4111 1111 1111 1111 and 4111 1111 1111 1112, 4111 1111 1111 1111", "<CARD> and 4111 1111 1111 1112, <CARD>"),
         (privacy.replace_customer_number, "010-1234-5678", "<NUMBER>"),
+        (privacy.replace_phone_number, "010-62345678, (0755) 8234567, 021 52345678; 010-1234-5678, 00-62345678, 0755-82345678901", "<PHONE>, <PHONE>, <PHONE>; 010-1234-5678, 00-62345678, 0755-82345678901"),
+        (privacy.mask_private, "0755-82345678 or 010-1234-5678", "<PHONE> or 010-1234-5678"),
         (privacy.mask_private, "at 10.0.0.1 or a@b.example, 13912345678", "at <IP> or <EMAIL>, <PHONE>"),
     ],
 )
