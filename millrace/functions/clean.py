@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.han import SIMPLIFIED, TRADITIONAL
+
 #: A watermark sentence that crawled pages carry; deleted where it stands (fixed value, a parameter).
 WATERMARK = "This page was saved for offline reading."
-#: Traditional to simplified characters, one to one; words are not looked at (fixed values).
-TRADITIONAL = "國學門書車長東馬鳥魚龍風飛電語說話讀寫買賣會來時間開關頭體醫藥號點無愛樂氣漢"
-SIMPLIFIED = "国学门书车长东马鸟鱼龙风飞电语说话读写买卖会来时间开关头体医药号点无爱乐气汉"
 
 
 def convert_newlines(c: Column) -> Column:
@@ -31,6 +30,7 @@ def remove_invisible_chars(c: Column) -> Column:
 
 
 def simplify_chinese(c: Column) -> Column:
+    """Traditional to simplified characters, one to one; words are not looked at."""
     return F.translate(c, TRADITIONAL, SIMPLIFIED)
 
 

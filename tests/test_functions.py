@@ -21,6 +21,7 @@ def one(spark, f, value):
         (clean.remove_invisible_chars, "a \u0007b\nc", "ab\nc"),
         (clean.point_conversion, "• x\n• y", "• x\n- y"),
         (clean.simplify_chinese, "漢語", "汉语"),
+        (clean.simplify_chinese, "臺灣與歐洲經濟發展報導，關於今後的龜鬱 著名乾坤", "台湾与欧洲经济发展报导，关于今后的龟郁 著名乾坤"),
         (privacy.replace_bank_id, "4111 1111 1111 1111 and 4111 1111 1111 1112, 4111 1111 1111 1111", "<CARD> and 4111 1111 1111 1112, <CARD>"),
         (privacy.replace_customer_number, "010-1234-5678", "<NUMBER>"),
         (privacy.replace_phone_number, "010-62345678, (0755) 8234567, 021 52345678; 010-1234-5678, 00-62345678, 0755-82345678901", "<PHONE>, <PHONE>, <PHONE>; 010-1234-5678, 00-62345678, 0755-82345678901"),
