@@ -3,17 +3,19 @@
 Adjacent symbols whose concatenation is a piece wait in an agenda ordered by the
 piece's score, then by position; the best pair is merged, its neighbours enter
 the agenda, and stale entries are skipped. Symbols that are no piece fall back to
-byte pieces. No piece spans the start of a word (checked when the vocabulary is
-loaded), so the agenda runs once per distinct word and the result is kept in a
-bounded memo.
+byte pieces. Two characters that are neighbours in no piece are never merged
+across, so a text is cut there, the agenda runs once per distinct part, and the
+result is kept in a bounded memo. Many short parts have their agendas side by
+side, a row each: the scores of a row's pairs are its agenda, of which the best
+is taken, merged and replaced by those of its neighbours, in all rows at once.
 
-In each Arrow batch, every word that enters the memo and every decoded text is
-compared with the sentencepiece library; a vocabulary whose pieces span words is
-compared text by text. Where they differ, the library's are returned and
-``agrees`` is false, so results are the library's in any case.
+In each Arrow batch the ids of every whole text, and every decoded text, are
+compared with the sentencepiece library's. Where they differ, the library's are
+returned and ``agrees`` is false, so results are the library's in any case.
 
-Null texts are encoded as empty texts. Repeated rows are encoded alike; other
-columns are not read. Very long texts are held one at a time.
+Null texts are encoded as empty texts. Repeated rows are encoded alike, also
+where an id is repeated; an empty table gives an empty table; other columns are
+not read. Very long texts are held one at a time.
 """
 
 from __future__ import annotations
@@ -30,42 +32,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from millrace.llm.word_batches import CLASSES, Memo, distinct_units, gather, slices
 from millrace.session import share_code
 
 SPACE = "▁"
-MEMO_WORDS = 300_000  # in each of two generations
-_TEXTS_AT_ONCE = 1 << 19  # bytes given to the library at a time
-
-
-class _Words:
-    """Ids by word; two generations of bounded size. Every word that is not there yet is encoded by the agenda and by the library."""
-
-    def __init__(self, encode, library) -> None:
-        self.encode, self.library = encode, library
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.wrong: set[str] = set()  # words for which the two differ; the library's ids stand
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        got = {w: self.encode(w) for w in words}
-        for w, ids in zip(words, self.library(words)):
-            if got[w] != ids:
-                self.wrong.add(w)
-                got[w] = ids
-        return got
-
-    def ids(self, words: list[str]) -> list[bytes]:
-        got = list(map(self.memo.get, words))
-        if None in got:
-            if len(self.memo) > MEMO_WORDS:
-                self.older, self.memo = self.memo, {}
-            memo, older = self.memo, self.older
-            missing = [w for w, ids in zip(words, got) if ids is None]
-            new = {w: older[w] if w in older else None for w in missing if w not in memo}
-            new |= self._learn([w for w, ids in new.items() if ids is None])
-            memo.update((w, ids) for w, ids in new.items() if len(w) <= 200)
-            got = [new.get(w) or memo[w] if ids is None else ids for w, ids in zip(words, got)]
-        return got
+MEMO_PARTS = 250_000  # in each of two generations
+_NONE = np.iinfo(np.int64).max  # the score of a pair that makes no piece
+_ROW = 24  # the longest part that is merged in a row
+_TEXTS_AT_ONCE = 1 << 22  # bytes given to the library at a time
 
 
 class PieceAgenda:
@@ -86,14 +60,20 @@ class PieceAgenda:
         probe = " a  b\t　ﬁ Å\n"
         self.as_is = sp.normalize(probe) == SPACE + probe.replace(" ", SPACE)
         splits = not any(SPACE in p.lstrip(SPACE) for p in self.score)
-        self.by_line = self.as_is and splits and not any("\n" in p for p in self.score)
-        self.words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if splits else r"(?s).+")
-        self.line = self.encode_word("\n")
-        self.spaced = _Words(lambda w: self.encode_word(SPACE + w), lambda words: self._lines(" ", words))
-        self.bare = _Words(self.encode_word, lambda words: self._lines("", words))
-        # A text begins as if after a space, so the library sees a run of spaces without its first.
-        self.runs = _Words(self.encode_word, lambda words: [array("I", sp.encode(w[1:].replace(SPACE, " ")) or [sp.piece_to_id(SPACE)]).tobytes() for w in words])
         self.whole = not (self.as_is and splits)
+        self.neighbours = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
+        self.words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        self.runs = re.compile(r"[^\W\d_]+|[\W\d_]+")
+        # A byte class may be cut from another except at these characters; texts with one of them are cut by code points.
+        kind = lambda c: int(CLASSES[min(ord(c), 128)])
+        mixed = [p for p in self.neighbours if SPACE not in p and kind(p[0]) != kind(p[1])]
+        self.odd = [SPACE, *sorted({c for p in mixed for c in p if ord(c) >= 128 or all(ord(x) < 128 for x in p)})]
+        self.of_point = np.full(0x11001, -1, np.int64)  # ids of characters; the last stands for all beyond
+        for c, k in self.ids.items():
+            if len(c) == 1 and ord(c) < 0x11000:
+                self.of_point[ord(c)] = k
+        self._pairs()
+        self.memo = Memo(MEMO_PARTS)
         self.pieces = [self._piece_bytes(k) for k in range(size)]
         self.ends = (np.array([self.begin], "<u4").tobytes(), np.array([self.end], "<u4").tobytes())
 
@@ -106,12 +86,6 @@ class PieceAgenda:
             return " ⁇ ".encode()
         return self.library.id_to_piece(k).replace(SPACE, " ").encode()
 
-    def _lines(self, prefix: str, words: list[str]) -> list[bytes]:
-        """The library's ids of words without a line feed, given to it one a line."""
-        raw = array("I", self.library.encode("".join(["\n" + prefix + w for w in words]))).tobytes()
-        cuts = np.flatnonzero(np.frombuffer(raw, "<u4") == np.frombuffer(self.line, "<u4")[0]).tolist()
-        return [raw[4 * a + 4 : 4 * b] for a, b in zip(cuts, [*cuts[1:], len(raw) // 4])]
-
     def merge(self, word: str) -> list[str]:
         """The symbols of a word after all merges."""
         get, symbols = self.score.get, list(word)
@@ -143,6 +117,67 @@ class PieceAgenda:
                 heappush(agenda, s << shift | left)
         return [x for x in symbols if x]
 
+    def _pairs(self) -> None:
+        """Arrays of all pairs of pieces that make a piece: sorted keys, places by score, ids of the whole."""
+        found = [(self.ids[p[:k]] << 32 | self.ids[p[k:]], s, self.ids[p]) for p, s in self.score.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids]
+        keys, self.pair_score, self.pair_id = np.array(sorted(found), np.int64).reshape(-1, 3).T.copy()
+        self.pair_keys = np.append(keys, np.iinfo(np.int64).max)
+        self.pair_score, self.pair_id = np.append(self.pair_score, _NONE), np.append(self.pair_id, 0)
+
+    def _scores(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = left << 32 | right
+        at = np.searchsorted(self.pair_keys, key)
+        there = self.pair_keys[at] == key
+        return np.where(there, self.pair_score[at], _NONE), self.pair_id[at]
+
+    def merge_rows(self, symbols: np.ndarray) -> list[bytes]:
+        """The symbols (ids of single characters) of each row after all merges, as little-endian integers of 32 bits."""
+        out: list = [b""] * len(symbols)
+        rows = np.arange(len(symbols))
+        score, whole = self._scores(symbols[:, :-1], symbols[:, 1:])
+
+        def give(some: np.ndarray, done: np.ndarray) -> None:
+            raw, width = done.astype("<u4").tobytes(), 4 * done.shape[1]
+            for k, at in zip(some.tolist(), range(0, len(raw), width)):
+                out[k] = raw[at : at + width]
+
+        while len(rows) and symbols.shape[1] > 1:
+            at = score.argmin(axis=1)
+            none = score[np.arange(len(rows)), at] == _NONE
+            if none.any():
+                give(rows[none], symbols[none])
+                go = ~none
+                rows, symbols, score, whole, at = rows[go], symbols[go], score[go], whole[go], at[go]
+            every, n = np.arange(len(rows)), symbols.shape[1]
+            symbols[every, at] = whole[every, at]
+            symbols = symbols[np.arange(n) != at[:, None] + 1].reshape(len(rows), n - 1)
+            stays = np.arange(n - 1) != at[:, None]
+            score, whole = score[stays].reshape(len(rows), n - 2), whole[stays].reshape(len(rows), n - 2)
+            for side in (at - 1, at):  # the pairs that the merged symbol ends and begins
+                some = np.flatnonzero((side >= 0) & (side < n - 2))
+                k = side[some]
+                score[some, k], whole[some, k] = self._scores(symbols[some, k], symbols[some, k + 1])
+        give(rows, symbols)
+        return out
+
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part."""
+        out, rows = [b""] * len(parts), {}
+        for k, x in enumerate(parts):
+            rows.setdefault(len(x), []).append(k)
+        for n, some in rows.items():
+            if n > _ROW:
+                known = np.zeros(len(some), bool)
+            else:
+                points = np.frombuffer("".join([parts[k] for k in some]).encode("utf-32-le"), "<u4").reshape(-1, n)
+                symbols = self.of_point[np.minimum(points, len(self.of_point) - 1)]
+                known = (symbols >= 0).all(axis=1)
+                for k, x in zip(np.flatnonzero(known).tolist(), self.merge_rows(symbols[known])):
+                    out[some[k]] = x
+            for k in np.flatnonzero(~known).tolist():
+                out[some[k]] = self.encode_word(parts[some[k]])
+        return out
+
     def encode_word(self, word: str) -> bytes:
         symbols = self.merge(word)
         try:
@@ -160,27 +195,46 @@ class PieceAgenda:
                 out.append(self.unknown)
         return array("I", out).tobytes()
 
+    def _part(self, part: str) -> bytes:
+        ids = self.memo.get(part)
+        if ids is None:
+            ids = self.encode_word(part)
+            self.memo.put(part, ids)
+        return ids
+
+    def encode_spaced(self, word: str) -> bytes:
+        """Ids of a word with its leading space or spaces; letters are cut from other characters where no piece has both."""
+        if word[1:].isalpha():
+            return self._part(word)
+        first, *runs = self.runs.findall(word[1:]) or [""]
+        now, out = word[0] + first, []
+        for run in runs:
+            if now[-1] + run[0] in self.neighbours:
+                now += run
+            else:
+                out.append(self._part(now))
+                now = run
+        return b"".join([*out, self._part(now)])
+
     def encode(self, text: str) -> bytes:
         """Ids with begin and end, as little-endian unsigned 32-bit integers."""
         if not text:
             return self.ends[0] + self.ends[1]
-        parts = [self.ends[0]]
-        if self.by_line and "  " not in text and text[0] != " " and SPACE not in text:
-            lead, *lines = text.split("\n")
-            parts += self.spaced.ids(lead.split(" "))  # a text begins as if after a space
-            for line in lines:
-                first, *words = line.split(" ")
-                parts.append(self.line)
-                if first:
-                    parts += self.bare.ids([first])
-                parts += self.spaced.ids(words)
-        else:
-            if self.whole:
-                parts.append(self.encode_word(self.library.normalize(text)))
-            else:
-                parts += self.runs.ids(self.words.findall(SPACE + text.replace(" ", SPACE)))
-        parts.append(self.ends[1])
-        return b"".join(parts)
+        if self.whole:
+            return self.ends[0] + self.encode_word(self.library.normalize(text)) + self.ends[1]
+        # A text begins as if after a space.
+        return b"".join([self.ends[0], *map(self.encode_spaced, self.words.findall(SPACE + text.replace(" ", SPACE))), self.ends[1]])
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as ``encode`` gives them, put together from those of its distinct parts."""
+        out = [b""] * len(texts)
+        plain = [k for k, x in enumerate(texts) if x and not self.whole and not any(c in x for c in self.odd)]
+        places, ends, parts = distinct_units([b" " + texts[k].encode() for k in plain])  # a text begins as if after a space
+        parts = [x.replace(" ", SPACE) for x in parts]
+        table = self.memo.table(parts, self.encode_parts)
+        for k, ids in zip(plain, gather(table, places, ends)):
+            out[k] = self.ends[0] + ids.tobytes() + self.ends[1]
+        return [x or self.encode(text) for x, text in zip(out, texts)]
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.pieces.__getitem__, ids))
@@ -194,19 +248,10 @@ def agenda(model_file: str) -> PieceAgenda:
 
 def _checked(coder: PieceAgenda, texts: list[str]):
     """(ids as bytes, decoded text, agrees) of each text."""
-    packed = [coder.encode(x) for x in texts]
-    if coder.whole:
-        want = [array("I", x).tobytes() for x in coder.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)]
-    else:
-        want = packed  # its words are the library's
-    memos = (coder.spaced, coder.bare, coder.runs)
-    differ = any(m.wrong for m in memos)
-    ids = [np.frombuffer(x, "<u4").tolist() for x in want]
-    for text, mine, got, one, decoded in zip(texts, packed, want, ids, coder.library.decode(ids, num_threads=1)):
-        agrees = mine == got and coder.decode(one) == decoded
-        if differ:
-            agrees = agrees and got == array("I", coder.library.encode(text, add_bos=True, add_eos=True)).tobytes() and not any(w in text for m in memos for w in m.wrong)
-        yield got, decoded, agrees
+    want = coder.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
+    for mine, ids, decoded in zip(coder.encode_batch(texts), want, coder.library.decode(want, num_threads=1)):
+        packed = array("I", ids).tobytes()
+        yield packed, decoded, mine == packed and coder.decode(ids) == decoded
 
 
 def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
@@ -216,12 +261,7 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
         coder = agenda(model_file)
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
-            at = 0
-            while at < len(sizes):
-                to, size = at, 0
-                while to < len(sizes) and (to == at or size + sizes[to] <= _TEXTS_AT_ONCE):
-                    size += sizes[to]
-                    to += 1
+            for at, to in slices(sizes, _TEXTS_AT_ONCE):
                 texts = [x or "" for x in batch.column(1).slice(at, to - at).to_pylist()]
                 rows = list(_checked(coder, texts))
                 columns = [
@@ -236,7 +276,6 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
                     columns += [pa.array([np.frombuffer(r[0], "<u4").astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
-                at = to
 
     share_code(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

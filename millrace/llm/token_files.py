@@ -27,17 +27,20 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.id_ranges import cut_points, dealt, partitions
+from millrace.llm.word_batches import Memo, distinct_units, gather, slices
 from millrace.session import scratch_path, share_code
 
 BLOCK = 256
 PERCENTILE = 95
 SEGMENT_IDS = 1 << 19
-MEMO_WORDS = 450_000  # in each of two generations
+MEMO_UNITS = 350_000  # in each of two generations
+_TEXTS_AT_ONCE = 1 << 22  # bytes encoded at a time
 _MAGIC = b"PFR1"
 _HEAD = struct.Struct("<4sIII")  # magic, ids, blocks, block size
 _BLOCK_HEAD = struct.Struct("<IBBH")  # minimum, width, 0, exceptions
@@ -161,7 +164,6 @@ def read_block(data: bytes, block: int) -> np.ndarray:
 #: Unicode White_Space, as the tokenizer's own pattern splits on it (fixed values).
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-_MARKS = re.escape(".,!?;:|()[]{}#%&*$-/<>=+")
 
 
 def _byte_letters() -> list[str]:
@@ -171,59 +173,16 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(free)) for b in range(256)]
 
 
-class _Words:
-    """Ids by word, for words after a space or for words after none; two generations of bounded size."""
-
-    def __init__(self, owner: WordMemo, space: str) -> None:
-        self.owner, self.space = owner, space
-        self.shown = space.translate(owner.letters)
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _learn(self, word: str, once: dict[str, bytes]) -> None:
-        """A word goes into the memo; into ``once`` where it need not be kept: its stem is, or it is too long."""
-        if (ids := self.older.get(word)) is not None:
-            self.memo[word] = ids
-            return
-        owner = self.owner
-        got = owner.plain.fullmatch(word)
-        if got is None:
-            (once if len(word) > 200 else self.memo)[word] = owner.chunks([self.space + word])[0]
-            return
-        stem, marks = got.groups()
-        ids = self.memo.get(stem) or self.older.get(stem)
-        new = ids is None
-        if new:
-            shown = stem if stem.isascii() else stem.encode().decode("latin-1").translate(owner.letters)
-            ids = array("I", [t.id for t in owner.model.tokenize(self.shown + shown)]).tobytes()
-            (once if len(stem) > 200 else self.memo)[stem] = ids
-        if marks:
-            (once if new else self.memo)[word] = ids + owner.chunks([marks])[0]
-
-    def ids(self, words: list[str]) -> list[bytes]:
-        got = list(map(self.memo.get, words))
-        if None in got:
-            if len(self.memo) > MEMO_WORDS:
-                self.older, self.memo = self.memo, {}
-            once: dict[str, bytes] = {}
-            memo = self.memo
-            for at, ids in enumerate(got):
-                if ids is None:
-                    word = words[at]
-                    if word not in memo:
-                        self._learn(word, once)
-                    got[at] = memo.get(word) or once[word]
-        return got
-
-
 class WordMemo:
-    """The tokenizers library behind a memo by word.
-
-    A byte-level tokenizer cuts a text before it merges; its cuts at white space
-    are made here by the same rule, so a word with its space has the same ids
-    alone and in its text, and each distinct word goes to the library once: a word
-    of letters is one piece and goes to the library's model, others to the whole
-    tokenizer. Texts with a special token go to the library whole.
+    """The tokenizers library behind a memo by unit.
+
+    A byte-level tokenizer cuts a text before it merges. Where letters, digits,
+    other characters and white space meet it always cuts, but for a space before a
+    word and an apostrophe before letters; so a unit between such places has the
+    same ids alone and in its text, and each distinct unit goes to the library
+    once: one of letters to the library's model, others to the whole tokenizer.
+    Texts with a special token go to the library whole, texts with white space of
+    other kinds or with letters not listed are cut at white space only.
     """
 
     def __init__(self, file: str) -> None:
@@ -236,11 +195,10 @@ class WordMemo:
         kind = str(self.library.pre_tokenizer)
         self.by_word = self.library.normalizer is None and "ByteLevel(add_prefix_space=False" in kind and "use_regex=True" in kind
         self.cut = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]")
-        self.other_white = re.compile(r"[^\S \n]")
-        self.plain = re.compile(f"([{_LETTERS}]+)([{_MARKS}]*)")
+        self.unlisted = re.compile(f"[^\\x00-\\x7f{_LETTERS}]")
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(_byte_letters())})
         self.by_chunk: dict[str, bytes] = {}
-        self.spaced, self.bare = _Words(self, " "), _Words(self, "")
+        self.memo = Memo(MEMO_UNITS)
 
     def chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of pieces of text cut as the tokenizer cuts them at white space."""
@@ -249,7 +207,7 @@ class WordMemo:
         for c, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False) if new else []):
             memo[c] = array("I", e.ids).tobytes()
         out = [memo[c] for c in chunks]
-        if len(memo) > MEMO_WORDS // 4:
+        if len(memo) > MEMO_UNITS // 4:
             memo.clear()
         for c in new:
             if len(c) > 200:
@@ -257,30 +215,37 @@ class WordMemo:
         return out
 
     def _single(self, x: str) -> bool:
-        """No white space but single spaces and single line feeds between other characters, or at an end."""
-        if "  " in x or "\n\n" in x or "\n " in x or " \n" in x:
+        """No white space but single spaces and single line feeds between other characters, or at an end; listed letters only."""
+        if "  " in x or "\n\n" in x or "\n " in x or " \n" in x or "\t" in x or "\r" in x or "\v" in x or "\f" in x:
             return False
-        if x.isascii():
-            return not ("\t" in x or "\r" in x or "\v" in x or "\f" in x)
-        return self.other_white.search(x) is None
+        return x.isascii() or self.unlisted.search(x) is None
+
+    def _learn(self, units: list[str]) -> list[bytes]:
+        out, odd = [b""] * len(units), []
+        tokenize, letters = self.model.tokenize, self.letters
+        for k, x in enumerate(units):
+            if x.lstrip(" ").isalpha():
+                shown = x if x.isascii() else x.encode().decode("latin-1")
+                out[k] = array("I", [t.id for t in tokenize(shown.translate(letters))]).tobytes()
+            else:
+                odd.append(k)
+        for k, ids in zip(odd, self.chunks([units[k] for k in odd])):
+            out[k] = ids
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out = []
-        for x in texts:
+        out, plain = [b""] * len(texts), []
+        for k, x in enumerate(texts):
             if not self.by_word or any(s in x for s in self.special):
-                out.append(array("I", self.library.encode(x, add_special_tokens=False).ids).tobytes())
-            elif not self._single(x):
-                out.append(b"".join(self.chunks(self.cut.findall(x))))
+                out[k] = array("I", self.library.encode(x, add_special_tokens=False).ids).tobytes()
+            elif self._single(x):
+                plain.append(k)
             else:
-                parts: list[bytes] = []
-                for line in x.split("\n"):
-                    if parts:
-                        parts += self.chunks(["\n"])
-                    first, *words = line.split(" ")
-                    parts += self.bare.ids([first]) if first else [b""]
-                    parts += self.spaced.ids(words)
-                out.append(b"".join(parts))
+                out[k] = b"".join(self.chunks(self.cut.findall(x)))
+        places, ends, units = distinct_units([texts[k].encode() for k in plain], b" '")
+        for k, ids in zip(plain, gather(self.memo.table(units, self._learn), places, ends)):
+            out[k] = ids.tobytes()
         return out
 
 
@@ -317,8 +282,9 @@ def write_segments(docs: DataFrame, tokenizer_file: str, end_id: int, path: str,
 
         for batch in batches:
             type_ = batch.column(0).type
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for at, to in slices(sizes, _TEXTS_AT_ONCE):
+                some = batch.slice(at, to - at)
                 texts = [x or "" for x in some.column(1).to_pylist()]
                 for doc, ids in zip(some.column(0).to_pylist(), coder.encode(texts)):
                     held_ids.append(doc)
