@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.tables import EXTENSION_LANGUAGE
+from millrace.functions.tables import CODE_LANGUAGES
 
 
 def _check(size: int, overlap: int) -> None:
@@ -50,8 +50,9 @@ def fill_sentences(text: str, size: int = 500, overlap: int = 100) -> list[str]:
 
 
 def paragraphs(c: Column, size: int = 500, overlap: int = 100) -> Column:
-    """``fill_sentences`` in Arrow batches; ``windows`` is the same, and native, for texts without such marks."""
-    return splitter(fill_sentences, size=size, overlap=overlap)(c)
+    """``fill_sentences`` in Arrow batches for texts with such marks; for others ``windows`` is the same, and native."""
+    marked = F.coalesce(c.rlike("[。！？]"), F.lit(False))
+    return F.when(marked, splitter(fill_sentences, size=size, overlap=overlap)(F.when(marked, c))).otherwise(windows(c, size, overlap))
 
 
 def chunk_rows(df, text: str = "text", size: int = 500, overlap: int = 100):
@@ -126,10 +127,23 @@ def splitter(split: Callable[..., list[str]], **options) -> Callable[[Column], C
 
 def code_language(name: Column, text: Column) -> Column:
     """Language by extension, else by ordered marks in the text, else generic."""
-    known = F.create_map(*[F.lit(x) for pair in EXTENSION_LANGUAGE.items() for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in CODE_LANGUAGES.items() for x in pair])
     by_name = F.try_element_at(known, F.lower(F.regexp_extract(name, r"(\.[^./]+)$", 1)))
+    has = text.contains
     marks = (
-        F.when(text.contains("def ") & text.contains(":"), "python").when(text.contains("function ") | text.contains("=> {"), "javascript")
-        .when(text.contains("public class "), "java").when(text.contains("#include"), "cpp").when(text.contains("<html"), "html").when(text.contains("SELECT "), "sql")
+        F.when(has("def ") & has("import "), "python").when(has("function") & (has("const ") | has("let ")), "javascript").when(has("class ") & has("public "), "java")
+        .when(has("#include") & has("int main"), "cpp").when(has("package ") & has("func "), "go").when(has("fn ") & has("let "), "rust")
     )
     return F.coalesce(by_name, marks, F.lit("generic"))
+
+
+def code_markdown(chunks: Column, language: Column, path: Column) -> Column:
+    """A markdown document of code chunks: a header block, then each chunk in a fence with its numbers of lines and characters."""
+
+    def one(x: Column, k: Column) -> Column:
+        lines = F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))) + 1
+        count = F.concat(F.lit("*Lines: "), lines.cast("string"), F.lit(", Characters: "), F.length(x).cast("string"), F.lit("*\n\n---\n\n"))
+        return F.concat(F.lit("## Chunk "), (k + 1).cast("string"), F.lit("\n\n```"), language, F.lit("\n"), x, F.lit("\n```\n\n"), count)
+
+    head = F.concat(F.lit("# Code Analysis: "), path, F.lit("\n\n**Language:** "), language, F.lit("\n**Total Chunks:** "), F.size(chunks).cast("string"), F.lit("\n\n"))
+    return F.concat(head, F.array_join(F.transform(chunks, one), ""))

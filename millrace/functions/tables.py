@@ -1,9 +1,9 @@
 """Lookup tables (fixed values)."""
 
 #: Source code extensions and their languages.
-EXTENSION_LANGUAGE = {
-    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".cpp": "cpp", ".c": "c", ".h": "c", ".cs": "csharp",
-    ".go": "go", ".rs": "rust", ".php": "php", ".rb": "ruby", ".swift": "swift", ".kt": "kotlin", ".scala": "scala", ".sql": "sql", ".sh": "bash", ".css": "css",
+CODE_LANGUAGES = {
+    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "javascript", ".tsx": "javascript", ".java": "java", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".c": "cpp",
+    ".h": "cpp", ".hpp": "cpp", ".go": "go", ".rs": "rust", ".php": "php", ".rb": "ruby", ".cs": "csharp", ".swift": "swift", ".kt": "kotlin", ".scala": "scala",
 }
 #: Parsers by extension: images, code, documents.
 IMAGES = ("jpg", "jpeg", "png", "webp")

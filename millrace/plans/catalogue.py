@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from millrace.plans import documents, relations  # noqa: F401
+    from millrace.plans import documents, relations, rules, specs  # noqa: F401
 
     return dict(_QUERIES)
 

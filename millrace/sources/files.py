@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.chunk import split_json
 from millrace.functions.html import read_html
-from millrace.functions.tables import DOCUMENTS, EXTENSION_LANGUAGE, IMAGES
+from millrace.functions.tables import DOCUMENTS, CODE_LANGUAGES, IMAGES
 from millrace.session import share_code
 
 
@@ -29,7 +29,7 @@ def extension(path: Column) -> Column:
 def route(path: Column) -> Column:
     """image, code, the document's own kind, or null for what no parser takes."""
     ext = extension(path)
-    code = [x[1:] for x in EXTENSION_LANGUAGE]
+    code = [x[1:] for x in CODE_LANGUAGES]
     return F.when(ext.isin(*IMAGES), "image").when(ext.isin(*code), "code").when(ext.isin(*DOCUMENTS), ext)
 
 
