@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def bound(c: Column, of) -> Column:
@@ -11,19 +14,22 @@ def bound(c: Column, of) -> Column:
     return F.element_at(F.transform(F.array(c), of), 1)
 
 
-def bigram_peak(c: Column) -> Column:
-    """Share of the most common two-character piece at offsets 0, 2, 4, ...; an odd last character is left out."""
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+def computed(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """``df`` with the column ``name``, computed once: no filter above is moved below it and computes it again."""
+    return df.select(*[x for x in df.columns if x != name], F.explode(F.array(c)).alias(name))
 
-    def step(a: Column, x: Column) -> Column:
-        run = F.when(x == a["last"], a["run"] + 1).otherwise(1)
-        return F.struct(x.alias("last"), run.alias("run"), F.greatest(a["most"], run).alias("most"))
 
-    def pieces(t: Column) -> Column:
-        return F.array_sort(F.regexp_extract_all(t, F.lit("(?s).."), 0))  # one pass; a substring at each offset would scan from the start
+@F.pandas_udf(T.DoubleType())
+def bigram_peak(texts: pd.Series) -> pd.Series:
+    """Share of the most common two-character piece at offsets 0, 2, 4, ...; an odd last character is left out; null below two characters."""
 
-    peak = lambda p: F.aggregate(p, start, step, lambda a: a["most"]) / F.size(p)
-    return bound(c, lambda t: F.when(F.length(t) >= 2, bound(pieces(t), peak)))
+    def peak(text: str | None) -> float | None:
+        if text is None or len(text) < 2:
+            return None
+        pieces = np.frombuffer(text[: len(text) // 2 * 2].encode("utf-32-le", "surrogatepass"), np.uint64)
+        return float(np.unique(pieces, return_counts=True)[1].max() / len(pieces))
+
+    return texts.map(peak).astype(object)
 
 
 def few_repeats(c: Column, most: float = 0.6) -> Column:
@@ -39,8 +45,8 @@ def few_digits(c: Column, most: float = 0.6) -> Column:
 
 
 def keep(c: Column, repeats: float = 0.6, least: int = 30, most: int = 500_000, digits: float = 0.6) -> Column:
-    """All three rules, the cheap ones first."""
-    return bound(c, lambda t: char_count(t, least, most) & few_digits(t, digits) & few_repeats(t, repeats))
+    """All three rules; Spark applies the two native ones before the batches of the third. ``c`` should be a plain column (see ``computed``)."""
+    return char_count(c, least, most) & few_digits(c, digits) & few_repeats(c, repeats)
 
 
 RECOGNISED = r"[\x20-\x7E\n\r\t\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}]"

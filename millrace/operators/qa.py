@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,8 +14,10 @@ from millrace.session import share_code
 
 
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
-    """One row a key, the last by ``order``."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).where("__n = 1").drop("__n")
+    """One row a key, the last by ``order``; of ties the greatest by the other columns. Rows are reduced before they are shuffled."""
+    others = [c for c in df.columns if c not in (key, order)]
+    last = df.groupBy(key).agg(F.max(F.struct(order, *others)).alias("__last"))
+    return last.select(*[F.col(c) if c == key else F.col(f"__last.{c}") for c in df.columns])
 
 
 def pair(questions: DataFrame, answers: DataFrame, order: str) -> DataFrame:

@@ -71,29 +71,36 @@ for _name, _function, _sql in (
     _rule(_name, _function, _sql)
 
 
-_IP_SQL = "regexp_replace({}, '" + privacy.IP + "', '<IP>', 'g')"
-_EMAIL_SQL = "regexp_replace({}, '" + privacy.EMAIL + "', '<EMAIL>', 'g')"
+def _sub(pattern, token):
+    return lambda x: f"regexp_replace({x}, '{pattern}', '{token}', 'g')"
+
+
+_ip, _email, _dashed = _sub(privacy.IP, "<IP>"), _sub(privacy.EMAIL, "<EMAIL>"), _sub(privacy.DASHED, "<NUMBER>")
+_phone, _qq, _id = lambda x: _sub(privacy.LANDLINE, "<PHONE>")(_sub(privacy.PHONE, "<PHONE>")(x)), _sub(privacy.QQ, "<QQ>"), _sub(privacy.ID_CARD, "<ID>")
+#: Appended to every text so that each rule has something to do, and something to leave.
+_PRIVATE = " at 10.0.0.1, a.b@c.example_d@e.example, 010-1234-5678, 13912345678, (0755) 82345678, QQ: 123456, 11010519491231002X, 3782 822463 10005, 4111 1111 1111 1112"
 
 
 def _mask(name, function, sql):
-    @query(name, f"select doc_id, {sql} as text from documents")
+    @query(name, f"select doc_id, {sql} as text from (select doc_id, text || '{_PRIVATE}' as text from documents)")
     def run(spark, sf_dir):
-        return table(spark, sf_dir, "documents").select("doc_id", function(F.col("text")).alias("text"))
+        text = F.concat("text", F.lit(_PRIVATE))
+        return table(spark, sf_dir, "documents").select("doc_id", function(text).alias("text"))
 
 
-_mask("mask_ip", privacy.replace_ip, _IP_SQL.format("text"))
-_mask("mask_email", privacy.replace_email, _EMAIL_SQL.format("text"))
-_mask("mask_dashed", privacy.replace_customer_number, f"regexp_replace(text, '{privacy.DASHED}', '<NUMBER>', 'g')")
-_mask("mask_phone", privacy.replace_phone_number, f"regexp_replace(text, '{privacy.PHONE}', '<PHONE>', 'g')")
-_mask("mask_id_card", privacy.replace_id_card, f"regexp_replace(text, '{privacy.ID_CARD}', '<ID>', 'g')")
-_mask("mask_qq", privacy.replace_qq, f"regexp_replace(text, '{privacy.QQ}', '<QQ>', 'g')")
+_mask("mask_ip", privacy.replace_ip, _ip("text"))
+_mask("mask_email", privacy.replace_email, _email("text"))
+_mask("mask_dashed", privacy.replace_customer_number, _dashed("text"))
+_mask("mask_phone", privacy.replace_phone_number, _phone("text"))
+_mask("mask_id_card", privacy.replace_id_card, _id("text"))
+_mask("mask_qq", privacy.replace_qq, _qq("text"))
 
 _LUHN_OF = (
     "(len(regexp_replace(c, '[^0-9]', '', 'g')) in (13, 15, 16, 19) and list_sum(list_transform(range(1, len(regexp_replace(c, '[^0-9]', '', 'g')) + 1), lambda k: "
     "case when k % 2 = 0 then case when 2 * cast(reverse(regexp_replace(c, '[^0-9]', '', 'g'))[k] as int) > 9 then 2 * cast(reverse(regexp_replace(c, '[^0-9]', '', 'g'))[k] as int) - 9 "
     "else 2 * cast(reverse(regexp_replace(c, '[^0-9]', '', 'g'))[k] as int) end else cast(reverse(regexp_replace(c, '[^0-9]', '', 'g'))[k] as int) end)) % 10 = 0)"
 )
-_CARD_RE = r"\b(?:[0-9]{4}[ -]?){3}[0-9]{1,7}\b"
+_CARD_RE = privacy.CARD
 
 
 def _card_sql(x):
@@ -101,22 +108,28 @@ def _card_sql(x):
 
 
 _mask("mask_card", privacy.replace_bank_id, _card_sql("text"))
-_ALL_SQL = f"""with a as (select doc_id, {_EMAIL_SQL.format(_IP_SQL.format('text'))} as text from documents), b as (select doc_id, {_card_sql('text')} as text from a)
-select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '{privacy.PHONE}', '<PHONE>', 'g'), '{privacy.QQ}', '<QQ>', 'g'), '{privacy.ID_CARD}', '<ID>', 'g') as text from b"""
 
 
-@query("mask_all", _ALL_SQL)
+def _all_sql(source):
+    return f"""with m as (select doc_id, {_email(_ip('text'))} as text from ({source})), b as (select doc_id, {_card_sql('text')} as text from m)
+select doc_id, {_id(_qq(_phone('text')))} as text from b"""
+
+
+@query("mask_all", _all_sql(f"select doc_id, text || '{_PRIVATE}' as text from documents"))
 def mask_all(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", privacy.mask_private(F.col("text")).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", privacy.mask_private(F.concat("text", F.lit(_PRIVATE))).alias("text"))
 
 
-_PEAK_SQL = "with p as (select doc_id, unnest(list_transform(range(1, len(text), 2), lambda i: text[i:i + 1])) as p from documents), n as (select doc_id, p, count(*) as n from p group by all) select doc_id, max(n) / sum(n) as share from n group by doc_id"
+def _peak_sql(source):
+    """(doc_id, share) of the texts of two characters or more."""
+    return f"with src as ({source}), p as (select doc_id, unnest(list_transform(range(1, len(text), 2), lambda i: text[i:i + 1])) as p from src), n as (select doc_id, p, count(*) as n from p group by all) select doc_id, max(n) / sum(n) as share from n group by doc_id"
 
 
-@query("filter_repetition", f"select doc_id, share::double as share, share <= 0.6 as kept from ({_PEAK_SQL})")
+@query("filter_repetition", f"select doc_id, share::double as share, coalesce(share <= 0.6, false) as kept from documents left join ({_peak_sql('from documents')}) using (doc_id)")
 def filter_repetition(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", filters.bigram_peak(F.col("text")).alias("share"), filters.few_repeats(F.col("text")).alias("kept"))
+    share_code(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", filters.bigram_peak(F.col("text")).alias("share"))
+    return docs.select("doc_id", "share", F.coalesce(F.col("share") <= 0.6, F.lit(False)).alias("kept"))
 
 
 @query("filter_length", "select doc_id, len(text) between 30 and 500000 as kept from documents")
@@ -129,25 +142,35 @@ def filter_numeric(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", filters.few_digits(F.col("text"), 0.02).alias("kept"))
 
 
-@query("quality_gate", r"select doc_id, len(text) >= 50 and len(regexp_extract_all(text, '[\x20-\x7E\n\r\t\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}]')) / len(text) >= 0.7 as kept from documents where len(text) > 0")
+@query("quality_gate", r"select doc_id, coalesce(len(text) >= 50 and len(regexp_extract_all(text, '[\x20-\x7E\n\r\t\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}]')) / len(text) >= 0.7, false) as kept from documents")
 def quality_gate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", filters.readable(F.col("text")).alias("kept"))
 
 
-_KEPT = f"with s as ({_PEAK_SQL}) select d.doc_id, d.text from documents d join s using (doc_id) where share <= 0.6 and len(d.text) between 30 and 500000"
+def _kept_sql(source):
+    """The rows of ``source`` that pass the rules of length, digits and repetition."""
+    return rf"select k.doc_id, k.text from ({source}) k join ({_peak_sql(source)}) s on k.doc_id = s.doc_id where share <= 0.6 and len(k.text) between 30 and 500000 and len(regexp_extract_all(k.text, '\p{{Nd}}')) / len(k.text) <= 0.6"
 
 
-@query("filter_all", _KEPT.replace("d.doc_id, d.text", "d.doc_id, cast(len(d.text) as int) as n_chars"))
+#: A fifth of the texts are mostly digits, and a fifth mostly one pair of characters, so that each rule rejects some.
+_NOISY_SQL = "select doc_id, case doc_id % 5 when 0 then repeat('1234567890', 2 * len(text)) || text when 1 then repeat('ab', 2 * len(text)) || text else text end as text from documents"
+
+
+@query("filter_all", f"select doc_id, cast(len(text) as int) as n_chars from ({_kept_sql(_NOISY_SQL)})")
 def filter_all(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    share_code(spark)
+    fill = lambda x: F.concat(F.repeat(F.lit(x), 2 * F.length("text")), "text")
+    noisy = F.when(F.col("doc_id") % 5 == 0, fill("1234567890")).when(F.col("doc_id") % 5 == 1, fill("ab")).otherwise(F.col("text"))
+    docs = filters.computed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", noisy)
     return docs.where(filters.keep(F.col("text"))).select("doc_id", F.length("text").alias("n_chars"))
 
 
-@query("curate_documents")
+@query("curate_documents", f"select doc_id, text, cast(len(text) as int) as n_chars from ({_all_sql(_kept_sql(f'select doc_id, {_full(_DIRT_SQL)} as text from documents'))})")
 def curate_documents(spark, sf_dir):
     """Full cleaning, then the quality rules on the cleaned text, then masking."""
-    docs = _dirty(spark, sf_dir).select("doc_id", clean.full_clean(F.col("text")).alias("text"))
-    masked = docs.where(filters.keep(F.col("text"))).select("doc_id", privacy.mask_private(F.col("text")).alias("text"))
+    share_code(spark)
+    docs = filters.computed(_dirty(spark, sf_dir), "text", clean.full_clean(F.col("text")))
+    masked = filters.computed(docs.where(filters.keep(F.col("text"))), "text", privacy.mask_private(F.col("text")))
     return masked.select("doc_id", "text", F.length("text").alias("n_chars"))
 
 

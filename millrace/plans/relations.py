@@ -33,10 +33,11 @@ def qa_joined(spark, sf_dir):
     return qa.pair(p.select("question", "conv_id", "turn"), answers, "at")
 
 
-@query("qa_pending", "select conv_id, turn, text as question from conversations where role = 'user' and text not in (select text from conversations where role = 'user' and conv_id % 2 = 0)")
+@query("qa_pending", f"select conv_id, turn, text as question from conversations where role = 'user' and text not in (select question from ({_PAIRS}) where question is not null)")
 def qa_pending(spark, sf_dir):
+    """Questions whose text nobody has answered."""
     users = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
-    return qa.pending(users, users.where("conv_id % 2 = 0")).select("conv_id", "turn", "question")
+    return qa.pending(users, _pairs(spark, sf_dir)).select("conv_id", "turn", "question")
 
 
 @query("qa_labelled", "select d.doc_id, coalesce(cast(l.quality as varchar), '') as label from documents d left join labels l using (doc_id)")
@@ -46,11 +47,12 @@ def qa_labelled(spark, sf_dir):
     return qa.labelled(docs, labels).select(F.col("question").alias("doc_id"), "label")
 
 
-@query("qa_review", "select doc_id, quality from labels where quality * 4 >= 4 and doc_id % 3 <> 0")
+@query("qa_review", "select doc_id, quality from labels where toxic = 0 and quality * 4 >= 4")
 def qa_review(spark, sf_dir):
-    """Every third reply is no JSON and so a rejection."""
-    rows = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    reply = F.when(F.col("doc_id") % 3 == 0, "no score").when(F.col("doc_id") % 3 == 1, F.format_string('{"score": %d, "reason": "x"}', F.col("quality") * 4)).otherwise(F.format_string('Here:\n```json\n{"score": %d}\n```', F.col("quality") * 4))
+    """Replies on toxic documents refuse, and so are rejections; the others are bare or fenced JSON."""
+    rows = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    bare, fenced = F.format_string('{"score": %d, "reason": "x"}', F.col("quality") * 4), F.format_string('Here:\n```json\n{"score": %d}\n```', F.col("quality") * 4)
+    reply = F.when(F.col("toxic") == 1, "no score").when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, bare).otherwise(fenced)
     return qa.reviewed(rows.withColumn("reply", reply), F.col("reply")).select("doc_id", "quality")
 
 

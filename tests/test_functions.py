@@ -122,3 +122,33 @@ def test_files(spark, tmp_path):
     assert got["d.pdf"].error and got["d.pdf"].lifecycle[0].life_type[-1] == "DATA_PROCESS_FAILED" and "e.log" not in got
     with pytest.raises(ValueError):
         sinks.save_jsonl(spark.range(0), str(tmp_path / "out"))
+
+
+def test_masks_match_the_plain_patterns(spark):
+    import random
+    import re
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choices(["a", "1", "@", ".", "_", "-", " ", "b.c", "x@y.z", "12-34-5", "é"], k=rng.randint(0, 25))) for _ in range(4000)]
+    frame = spark.createDataFrame([(t,) for t in texts], "x string").select("x", privacy.replace_email(F.col("x")).alias("e"), privacy.replace_customer_number(F.col("x")).alias("d"))
+    for r in frame.collect():
+        assert r.e == re.sub(privacy.EMAIL, "<EMAIL>", r.x) and r.d == re.sub(privacy.DASHED, "<NUMBER>", r.x), r.x
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "1" * 1_000_000, "a.b" * 300_000, "1-" * 500_000, "a@" * 500_000, "4111 " * 200_000])
+def test_masks_of_long_texts_are_linear(spark, text):
+    import time
+
+    start = time.time()
+    one(spark, privacy.mask_private, text)
+    one(spark, privacy.replace_customer_number, text)
+    assert time.time() - start < 20
+
+
+def test_cards_in_groups_of_4_6_5(spark):
+    assert one(spark, privacy.replace_bank_id, "3782 822463 10005, 378282246310005, 3782 822463 10006") == "<CARD>, <CARD>, 3782 822463 10006"
+
+
+def test_latest_of_ties(spark):
+    rows = spark.createDataFrame([("q", 1, "b"), ("q", 1, "c"), ("q", 0, "z"), ("r", None, "x")], "question string, at int, answer string")
+    assert {r.question: r.answer for r in qa.latest(rows, "question", "at").collect()} == {"q": "c", "r": "x"}
