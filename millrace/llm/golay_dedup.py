@@ -19,7 +19,8 @@ candidates are verified with the full fingerprints.
 Distinct fingerprints are linked, not documents; a key's members arrive sorted
 and are compared block by block in numpy, and only a spanning forest of the true
 links leaves a task. A key with more members than ``block`` is cut into blocks
-whose pairs are dealt to other tasks, so no task holds or compares an unbounded
+whose pairs are dealt to other tasks, before it is shuffled where a sample of the
+members shows it, else where it arrives, so no task holds or compares an unbounded
 group, and no pair is dropped.
 
 Nulls and empty texts have no words and the fingerprint zero, which is linked
@@ -290,6 +291,29 @@ def _keyed(fps: DataFrame) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "key long, fp long, near boolean")
 
 
+def split_hot(rows: DataFrame, sample: DataFrame, every: int, block: int, member: str, name: str) -> DataFrame:
+    """``rows`` (key, ...) with the keys that have more than about ``block`` members split before any task holds one.
+
+    ``sample`` has the same columns for one in ``every`` members. The members of a
+    key that it shows to be large are cut into blocks by a hash, and each goes to
+    the keys of all pairs of its block with another, so that every two members
+    still meet. A key that the sample misses is cut where it arrives.
+    """
+    n = F.count("*") * every
+    hot = settle(sample.groupBy(F.col("key").alias("hot_key")).agg(n.alias("n")).where(F.col("n") > block), name)
+    if hot.isEmpty():
+        return rows
+    hot = hot.select("hot_key", F.ceil(2 * F.col("n") / block).alias("blocks"))
+    own = F.pmod(F.xxhash64(member, F.lit(7)), F.col("blocks"))
+    pair = lambda o: F.xxhash64("key", F.least(own, o), F.greatest(own, o))
+    keys = F.when(F.col("blocks").isNull(), F.array("key")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), pair))
+    return rows.join(hot, F.col("key") == F.col("hot_key"), "left").select(F.explode(keys).alias("key"), *[c for c in rows.columns if c != "key"])
+
+
+def one_in(block: int) -> int:
+    return max(1, min(64, block // 1024))
+
+
 def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) that connect all fingerprints of ``fps`` (one distinct column fp) within max_bits.
 
@@ -303,7 +327,9 @@ def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLO
     def linked(rows: DataFrame) -> DataFrame:
         return rows.sortWithinPartitions("key", "fp").mapInArrow(lambda it: _link_rows(it, max_bits, block), _LINK_SCHEMA)
 
-    found = settle(linked(_keyed(fps).repartition("key")), "golay-links")
+    every = one_in(block)
+    keyed = split_hot(_keyed(fps), _keyed(fps.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0)), every, block, "fp", "golay-hot")
+    found = settle(linked(keyed.repartition("key")), "golay-links")
     edges = found.where("b is not null").select("a", "b")
     over = found.where("b is null")
     if not over.isEmpty():
