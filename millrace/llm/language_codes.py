@@ -14,7 +14,10 @@ documents (``weigh_rows``), and takes the codeword with the smallest loss.
 * Null texts and texts without a letter are ``und`` with score 0.
 * No training rows: every prediction is ``und``. One language only: that
   language with score 1. Ties go to the language first in code point order.
-* Repeated rows count as often as they occur; other columns are not read.
+* More than ``most_labels`` languages are an error: such a column is no language.
+* Repeated rows count as often as they occur, and are in the sample together or
+  not at all; without a sample every bit is trusted alike. Very long texts are
+  read in windows. An empty table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import share_code
+from millrace.session import settle, share_code
 
 BUCKET_BITS = 14
 ORDERS = (3, 4)  # bytes in an n-gram
-WEIGH_ROWS = 4000  # bound on the sample that weighs the bits
+WEIGH_ROWS = 4000  # bound on the sample that weighs the bits: the rows of smallest hash of id and text
+MOST_LABELS = 512  # bound on the languages, 131 KB of counts each on the driver
 _GAP = b"    "
 #: Letters in lower case; bytes of other scripts stay; everything else separates words.
 _FOLD = bytes(b if 97 <= b < 123 or b >= 128 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
@@ -185,25 +189,29 @@ class OutputCodes:
         return [self.labels[k] for k in best], score, near | (wrong > self.corrects)
 
 
-def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", weigh_rows: int = WEIGH_ROWS) -> OutputCodes:
+def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", weigh_rows: int = WEIGH_ROWS, most_labels: int = MOST_LABELS) -> OutputCodes:
     """Fit on all rows of ``train`` with text and label; the counts, labels x 2^14, come to the driver."""
-    counts = ngram_counts(train, text_col, label_col).toPandas()
+    counts = settle(ngram_counts(train, text_col, label_col), "ngram-counts")
+    if (n := counts.select("label").distinct().count()) > most_labels:
+        raise ValueError(f"{n} languages to learn, more than {most_labels}; their counts would not fit the driver")
+    counts = counts.toPandas()
     labels = sorted(counts["label"].unique().tolist(), key=lambda x: x.encode("utf-32-be"))
     dense = np.zeros((len(labels), 1 << BUCKET_BITS))
     dense[[labels.index(x) for x in counts["label"]], counts["bucket"].to_numpy(int)] = counts["n"].to_numpy()
     model = OutputCodes(labels, dense)
     if len(labels) > 1:
         rows = train.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-        fraction = min(1.0, weigh_rows / max(1, rows.count()))
-        some = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(fraction * (1 << 20)))
+        rows = rows.select(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(17), text_col), F.lit(1 << 53)).alias("h"), text_col, F.col(label_col).cast("string"))
+        under = min(1.0, weigh_rows / max(1, rows.count())) * (1 << 53)
 
         def run(batches):
             for batch in batches:
-                got = model.margins(batch.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(got.tolist(), pa.list_(pa.float64()))], ["label", "m"])
+                got = model.margins(batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got.tolist(), pa.list_(pa.float64()))], ["h", "label", "m"])
 
-        seen = some.select(text_col, F.col(label_col).cast("string")).mapInArrow(run, "label string, m array<double>").limit(weigh_rows).toPandas()
-        model.weigh(np.array(seen["m"].tolist()).reshape(len(seen), -1), np.array([labels.index(x) for x in seen["label"]]))
+        seen = rows.where(F.col("h") < F.lit(under)).mapInArrow(run, "h long, label string, m array<double>").orderBy("h", "label").limit(weigh_rows).toPandas()
+        if len(seen):  # else every bit is trusted alike
+            model.weigh(np.array(seen["m"].tolist()).reshape(len(seen), -1), np.array([labels.index(x) for x in seen["label"]]))
     return model
 
 
