@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+SAMPLE = 64
 
 
 def partitions(df: DataFrame) -> int:
@@ -18,8 +21,14 @@ def cut_points(df: DataFrame, id_col: str, n: int) -> list:
     """At most n - 1 ascending distinct ids at which a new range starts."""
     if n < 2:
         return []
-    got = df.agg(F.percentile_approx(id_col, [k / n for k in range(1, n)], 20 * n).alias("p")).first().p
-    return sorted({x for x in got or [] if x is not None})
+    if isinstance(df.schema[id_col].dataType, NumericType):
+        got = df.agg(F.percentile_approx(id_col, [k / n for k in range(1, n)], 20 * n).alias("p")).first().p
+        return sorted({x for x in got or [] if x is not None})
+    # Ids without percentiles: some of smallest hash, about SAMPLE a range, stand for all.
+    under = min(1.0, SAMPLE * n / max(1, df.count())) * (1 << 53)
+    some = df.select(id_col).where(F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(id_col), F.lit(1 << 53)) < F.lit(under))).distinct().orderBy(id_col)
+    ids = [x[0] for x in some.collect()]
+    return [ids[k * len(ids) // n] for k in range(1, n) if k * len(ids) // n > (k - 1) * len(ids) // n]
 
 
 def range_of(column: Column, cuts: list) -> Column:
