@@ -12,15 +12,18 @@ of one kind. Null payloads are empty; null urls leave the target out; a null
 page_id is read back as null and never is the one referred to while another id
 has the payload.
 
-Reading parses records by Content-Length. Assembly joins the three kinds by the
+Reading inflates an archive piece by piece and parses records by Content-Length, so
+of an archive no more than its compressed bytes and a record is held, and archives
+have ``RECORDS_A_FILE`` records at most. An empty table gives empty archives and no
+captures; columns of clashing names are left out. Assembly joins the three kinds by the
 response's record id; records without their response give a capture with a null
 response. Only the columns named are read from the table of pages.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,6 +32,9 @@ from pyspark.sql import functions as F
 from millrace.session import scratch_path, settle, share_code
 
 LEAST = 100
+_PIECE = 1 << 20  # bytes inflated at a time
+_BATCH = 1 << 24  # bytes of blocks whose records go on together
+RECORDS_A_FILE = 100_000
 DATE = "2024-01-01T00:00:00Z"
 _KINDS = "file string, type string, record_id string, concurrent_to string, target_uri string, payload_bytes long, payload_digest string, digest_stated string, fields map<string,string>"
 
@@ -77,33 +83,76 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST, id_col: str = "p
         ),
         _record("metadata", _uuid("metadata"), "application/warc-fields", fields, [with_]),
     )
-    rows.select(F.explode(records).alias("value")).write.option("lineSep", "\n").option("compression", compression).text(path)
-
-
-def parse_records(data: bytes):
-    """(offset, headers, block) of each record of an uncompressed archive."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:end].split(b"\r\n")
+    rows.select(F.explode(records).alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_A_FILE).option("compression", compression).text(path)
+
+
+def _inflated(data: bytes):
+    """Pieces of an archive of bounded size; gzip of one or many members, or none."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[at : at + _PIECE] for at in range(0, len(data), _PIECE))
+        return
+    view = memoryview(data)
+    while len(view):
+        member = zlib.decompressobj(31)
+        at = 0
+        while not member.eof and at < len(view):
+            piece = member.decompress(view[at : at + _PIECE])
+            at += _PIECE
+            if piece:
+                yield piece
+        if not member.eof:
+            raise ValueError("the archive ends within a member")
+        view = view[min(at, len(view)) - len(member.unused_data) :]
+
+
+def parse_records(pieces):
+    """(offset, headers, block) of each record of an archive that comes in pieces, or whole; no more than a record and a piece is held."""
+    held, base, at = bytearray(), 0, 0
+    pieces = iter([pieces] if isinstance(pieces, (bytes, bytearray)) else pieces)
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        if piece is not None:
+            held.extend(piece)
+        return piece is not None
+
+    while True:
+        seen = at
+        while (end := held.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(at, len(held) - 3)
+            if not more():
+                if len(held) > at:
+                    raise ValueError(f"no record at byte {base + at}")
+                return
+        first, *lines = bytes(held[at:end]).split(b"\r\n")
         if not first.startswith(b"WARC/"):
-            raise ValueError(f"no record at byte {at}")
+            raise ValueError(f"no record at byte {base + at}")
         headers = {k.lower(): v for k, _, v in (x.decode().partition(": ") for x in lines)}
         start, size = end + 4, int(headers["content-length"])
-        yield at, headers, data[start : start + size]
+        while len(held) < start + size + 4 and more():
+            pass
+        yield base + at, headers, bytes(held[start : start + size])
         at = start + size + 4
+        if at > _PIECE:
+            base += at
+            del held[:at]
+            at = 0
 
 
 def read_records(spark, path: str, payloads: bool = False) -> DataFrame:
     """One row a record of the archives below ``path``; with ``payloads`` also the payload."""
 
     def run(batches):
+        types = [pa.string()] * 5 + [pa.int64(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string())] + [pa.string()] * payloads
+        names = ["file", "type", "record_id", "concurrent_to", "target_uri", "payload_bytes", "payload_digest", "digest_stated", "fields"] + ["payload"] * payloads
+
+        def given(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
         for batch in batches:
             for k in range(batch.num_rows):
-                data = batch.column(1)[k].as_py()
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                rows = []
-                for _, headers, block in parse_records(data):
+                rows, size = [], 0
+                for _, headers, block in parse_records(_inflated(batch.column(1)[k].as_py())):
                     kind, body, fields = headers["warc-type"], None, []
                     if kind in ("response", "revisit"):
                         body = block[block.index(b"\r\n\r\n") + 4 :]
@@ -116,10 +165,12 @@ def read_records(spark, path: str, payloads: bool = False) -> DataFrame:
                         + (len(body) if own else None, hashlib.sha256(body).hexdigest() if own else None, digest, fields)
                         + ((body.decode("utf-8", "replace") if own else None,) if payloads else ())
                     )
+                    size += len(block)
+                    if len(rows) >= 4096 or size >= _BATCH:
+                        yield given(rows)
+                        rows, size = [], 0
                 if rows:
-                    types = [pa.string()] * 5 + [pa.int64(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string())] + [pa.string()] * payloads
-                    names = ["file", "type", "record_id", "concurrent_to", "target_uri", "payload_bytes", "payload_digest", "digest_stated", "fields"] + ["payload"] * payloads
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                    yield given(rows)
 
     share_code(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
