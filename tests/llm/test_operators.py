@@ -39,25 +39,91 @@ def docs_of(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
-@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op6", "op7", "wide", "op8", "op9", "op10"])
-def test_odd_and_empty_tables(spark, odd, empty, name):
+def operators(spark):
     labels = spark.createDataFrame([(2, 1), (3, 0), (None, 1), (4, None)], "doc_id long, quality int")
-    run = {
+    return {
         "op1": lambda d: chroma.align(d.withColumn("media", F.encode("text", "UTF-8")), "doc_id", "media"),
         "op2": lambda d: language_codes.identify(d, language_codes.fit(d.where(~language_codes.held_out()))),
         "op3": lambda d: piece_agenda.encode_documents(d, PIECES),
         "op4": lambda d: token_files.token_files(d, BYTES),
+        "op5": lambda d: warc.capture_digests(warc.captures(d.withColumn("url", F.lit("u")), id_col="doc_id", payload_col="text")),
         "op6": lambda d: secret_automaton.scan_secrets(d),
         "op7": golay_dedup.near_duplicates,
         "wide": golay_wide.near_duplicates,
         "op8": lambda d: rule_ensemble.scored(d, rule_ensemble.fit(d, labels)),
         "op9": mixing.mix,
         "op10": local_parsing.compare_with_edits,
-    }[name]
-    assert run(odd).count() == odd.count()
+    }
+
+
+#: (doc_id, expected values) of the null text, of both rows of the empty one, and of three equal texts.
+ODD = {
+    "op1": {1: dict(n_ints=0, class_id=1, aligned_to=None), 2: dict(n_ints=0, class_id=2, aligned_to=None), 4: dict(class_id=3)},
+    "op2": {1: dict(lang_pred="und", score=0.0), 2: dict(lang_pred="und", score=0.0)},
+    "op3": {1: dict(n_tokens=2, agrees=True, decoded=""), 2: dict(n_tokens=2, agrees=True, decoded="")},
+    "op4": {1: dict(n_tokens=1, ids=[2]), 2: dict(n_tokens=1, ids=[2])},
+    "op5": {1: dict(payload_bytes=0, record_type="response", refers_to=None), 2: dict(payload_bytes=0, record_type="response"), 4: dict(payload_bytes=56, record_type="response")},
+    "op6": {1: dict(n_secrets=0, spans=""), 2: dict(n_secrets=0, spans=""), 4: dict(n_assign=0, n_access=0, n_hex=0)},
+    "op7": {1: dict(fp=0, component_id=1), 2: dict(fp=0, component_id=1), 4: dict(component_id=3), 5: dict(component_id=3)},
+    "wide": {1: dict(component_id=1), 2: dict(component_id=1), 3: dict(component_id=3), 5: dict(component_id=3), 6: dict(component_id=6), None: dict(component_id=None)},
+    "op8": {1: dict(held_out=False), 2: dict(held_out=False)},
+    "op9": {1: dict(size=0, taken=0), 2: dict(size=0, taken=0), 4: dict(size=12), 6: dict(size=10000)},
+    "op10": {1: dict(n_chars=0, fingerprint="00" * sum(local_parsing.SECTIONS)), 2: dict(n_chars=0), 6: dict(n_chars=50000)},
+}
+
+
+@pytest.mark.parametrize("name", sorted(ODD))
+def test_odd_and_empty_tables(spark, odd, empty, name):
+    run = operators(spark)[name]
+    rows = [r.asDict() for r in run(odd).collect()]
+    key = next(iter(rows[0]))  # the id comes first
+    assert Counter(r[key] for r in rows) == Counter(r.doc_id for r in odd.collect())
+    for k, want in ODD[name].items():
+        for row in (r for r in rows if r[key] == k):
+            assert {c: row[c] for c in want} == want
+    first, second = (r for r in rows if r[key] == 2)  # repeated rows fare alike
+    places = {"start"}
+    assert {c: x for c, x in first.items() if c not in places} == {c: x for c, x in second.items() if c not in places}
+    same = [{c: x for c, x in r.items() if c not in {key, "start", "edited_sha256", "edited_fingerprint", "near_edited", "near_next", "held_out", "taken", "copies"}} for r in rows if r[key] in (3, 4, 5)]
+    assert all(x == same[0] for x in same)  # so do equal texts
     assert run(empty).count() == 0
 
 
+def test_string_ids(spark):
+    docs = docs_of(spark)
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 9, "0")))
+    for run, columns in ((operators(spark)["op4"], ("start", "n_tokens", "ids_crc32")), (operators(spark)["op10"], ("n_chars", "edited_sha256", "near_next"))):
+        got = [tuple(r[c] for c in columns) for r in run(named).orderBy("doc_id").collect()]
+        assert got == [tuple(r[c] for c in columns) for r in run(docs).orderBy("doc_id").collect()]
+
+
+def test_one_id_repeated_in_training(spark):
+    rows = [(7, f"some words of a text {k % 3}", ("en", "de", "fr")[k % 3]) for k in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_codes.identify(docs, language_codes.fit(docs)).groupBy("lang_pred").count().collect()
+    assert sum(r["count"] for r in got) == len(rows) and {r.lang_pred for r in got} <= {"en", "de", "fr"}
+    with pytest.raises(ValueError):
+        language_codes.fit(docs, most_labels=2)
+    labels = spark.createDataFrame([(7, 1)], "doc_id long, quality int")
+    assert rule_ensemble.fit(docs, labels).rules == []
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(3, 1), (6, 0), (None, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+    kept = {name: stage(spark, odd, str(tmp_path)).collect() for name, stage in corpus_pipeline.STAGES}
+    ids = lambda name: Counter(r.doc_id for r in kept[name])
+    every = Counter(r.doc_id for r in odd.collect())
+    assert all(c == every[k] for k, c in ids("quality").items())  # repeated rows stay or go together
+    assert ids("near_duplicates") == Counter([1, None, 3, 6, 7])
+    assert ids("secrets") == every and {r.doc_id: r.text for r in kept["secrets"] if r.doc_id != 2} == {r.doc_id: r.text for r in odd.collect() if r.doc_id != 2}
+    assert set(ids("mixture")) <= set(every) and ids("tokens") == every
+    assert {r.n_tokens for r in kept["tokens"] if r.doc_id in (1, 2)} == {2}
+
+
 def test_simhash_against_all_pairs(spark):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**64, 300, dtype=np.uint64)
@@ -86,7 +152,7 @@ def test_components_of_documents(spark):
 
 
 def test_wide_links_against_all_pairs(spark):
-    """Edited words in random texts: every pair of similarity 0.85 or more is linked (nineteen in twenty must be), none below 0.6."""
+    """Edited words in random texts: nineteen in twenty pairs of similarity 0.8 or more are linked, and nothing is that isn't connected by such pairs."""
     rng = random.Random(6)
     words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(300)]
     texts = []
@@ -97,23 +163,52 @@ def test_wide_links_against_all_pairs(spark):
             for at in rng.sample(range(len(base)), edits):
                 copy[at] = "changed"
             texts.append(" ".join(copy))
-    sets = [set(golay_wide._shingle_hashes(t, 5).tolist()) for t in texts]
+    sets = [set(golay_wide.shingles(t, 5).tolist()) for t in texts]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for block in (1 << 16, 3):  # the second cuts keys into blocks
-        got = dict(golay_wide.near_duplicates(docs, block=block).toPandas().itertuples(index=False))
-        like = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(texts)) for j in range(i)}
-        close = [got[i] == got[j] for (i, j), x in like.items() if x >= 0.85]
+    like = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(texts)) for j in range(i)}
+    true = plain_groups(dict(enumerate(texts)))
+    for block, together in ((1 << 16, 2), (3, 2), (1 << 16, 3)):  # the second cuts keys into blocks
+        got = dict(golay_wide.near_duplicates(docs, block=block, together=together).toPandas().itertuples(index=False))
+        close = [got[i] == got[j] for (i, j), x in like.items() if x >= 0.8]
         assert len(close) > 50 and sum(close) >= 0.95 * len(close)
-        for i in range(len(texts)):
-            same = [j for j in range(len(texts)) if j != i and got[j] == got[i]]
-            assert not same or max(like[max(i, j), min(i, j)] for j in same) >= 0.6
-    assert golay_wide.keep_one(docs).count() == len(set(got.values()))
+        assert all(true[i] == true[c] for i, c in got.items())
+    assert golay_wide.keep_one(docs).count() == len(set(golay_wide.near_duplicates(docs).toPandas().component_id))
+
+
+def test_forests_against_all_pairs():
+    """Forests of few and of many rows connect what the pairs within the limit connect."""
+    rng = np.random.default_rng(3)
+    for n, spread in ((2, 4), (30, 24), (63, 30), (200, 28), (200, 60)):
+        centres = rng.integers(0, 2**64, (3, golay_wide.CHECK), dtype=np.uint64)
+        rows = centres[rng.integers(0, 3, n)]
+        flips = np.packbits(rng.random((n, 64 * golay_wide.CHECK)) < spread / (64 * golay_wide.CHECK), axis=1).view(np.uint64)
+        check = (rows ^ flips).view(np.int64)
+        a, b = golay_wide.links(np.column_stack([np.zeros(n, np.int64), np.arange(n), check]), 72)
+        x, y = np.nonzero(np.triu(np.bitwise_count(check.view(np.uint64)[:, None] ^ check.view(np.uint64)[None]).sum(axis=2) <= 72, 1))
+        assert len(a) < n and set(zip(a.tolist(), b.tolist())) <= set(zip(x.tolist(), y.tolist()))
+        assert golay_wide._merged(np.arange(n), a, b).tolist() == golay_wide._merged(np.arange(n), x, y).tolist()
+
+
+def test_soft_decoding_against_all_codewords():
+    rng = np.random.default_rng(4)
+    code = golay_dedup.golay()
+    votes = rng.integers(-9, 10, (20, 64 * golay_wide.WORDS))
+    got = golay_wide.codewords(votes)
+    words = (np.arange(1 << 12) << 11) | code.parity
+    signs = 2 * (words[:, None] >> np.arange(23) & 1) - 1
+    for k in range(20):
+        for segment in range(golay_wide.SEGMENTS):
+            match = signs @ votes[k, 23 * segment : 23 * segment + 23]
+            assert match[got[k, segment]] == match.max()
+    hashes = golay_wide.shingles("one two three four five six seven")
+    bits = np.unpackbits(golay_wide._mix(hashes[:, None] ^ golay_wide._SALTS).view(np.uint8), axis=1).astype(int)
+    assert len(hashes) == 3 and (golay_wide.votes(hashes) == (2 * bits - 1).sum(axis=0)).all()
 
 
 def test_blocks_of_large_keys_across_batches():
     """Blocks are numbered, hold at most ``block`` rows of one key, and so two of them are never cut again."""
     for sizes in ((1, 23, 2), (9, 30), (40,), (3, 3, 25, 1, 26)):
-        rows = np.array([(k, n) + (0,) * golay_wide.CHECK_WORDS for k, n_rows in enumerate(sizes) for n in range(n_rows)], np.int64)
+        rows = np.array([(k, n) + (0,) * golay_wide.CHECK for k, n_rows in enumerate(sizes) for n in range(n_rows)], np.int64)
         for step in (1, 4, 7, 10, 100):
             batches = [pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows[at : at + step].T], golay_wide._COLUMNS) for at in range(0, len(rows), step)]
             pieces = list(golay_wide._pieces(batches, 3))
@@ -293,6 +388,150 @@ def test_chroma_alignment_against_all_pairs(spark):
     assert want[4][1] == 3 and want[13][1] == want[14][1] == 12 and sum(x is not None for x in want.values()) > 15
 
 
+def test_chroma_filters_against_plain_sums():
+    """Integers from the integral image equal those from sums over each rectangle."""
+    rng = np.random.default_rng(11)
+    frames = chroma.chroma(rng.normal(0, 0.3, 256 + 32 * 60).astype(np.float32).clip(-1, 1))
+    got = chroma.packed(frames)
+    wide = np.concatenate([frames, frames[:, :11]], axis=1).astype(np.float64)
+    same = 0
+    for at in range(len(got)):
+        value = 0
+        for kind, p, height, width in chroma.FILTERS:
+            t = at + (chroma.SPAN - width) // 2
+            if kind == "time":
+                a, b = wide[t : t + width // 2, p : p + height].sum(), wide[t + width // 2 : t + width, p : p + height].sum()
+            else:
+                half = (height + 1) // 2
+                a, b = wide[t : t + width, p : p + half].sum(), wide[t : t + width, p + half : p + half + height // 2].sum()
+            level = sum(np.log1p(a) - np.log1p(b) >= q for q in chroma._QUANTA)
+            value = value << 2 | (0, 1, 3, 2)[level]
+        same += value == got[at]
+    assert len(got) > 40 and same >= len(got) - 1  # a level on its bound may fall on either side
+
+
+def plain_language(model, text):
+    """The decoding, n-gram by n-gram and bit by bit."""
+    raw = b" " + bytes(b if 97 <= b < 123 or b >= 128 else b + 32 if 65 <= b < 91 else 32 for b in text.encode()) + b"    "
+    n, bits = len(raw) - 4, model.code.shape[1]
+    total = [0.0] * bits
+    for order in language_codes.ORDERS:
+        for k in range(n):
+            code = order
+            for byte in raw[k : k + order]:
+                code = (code * 0x01000193 + byte) & 0xFFFFFFFF
+            code = ((code ^ code >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> (32 - language_codes.BUCKET_BITS)
+            total = [x + float(w) for x, w in zip(total, model.weights[code])]
+    margins = [x / (len(language_codes.ORDERS) * n) for x in total]
+    losses = []
+    for row, trust in zip(model.code, model.trust):
+        losses.append(sum(float(t) * np.log1p(np.exp(-4 * float(c) * m / float(s))) for c, m, s, t in zip(row, margins, model.scale, trust)))
+    share = [np.exp(-8 * (x - min(losses))) for x in losses]
+    return model.labels[int(np.argmin(losses))], 1 / sum(share)
+
+
+def test_language_decoding_against_plain_python(spark):
+    docs = docs_of(spark)
+    model = language_codes.fit(docs.where(~language_codes.held_out()))
+    texts = [r.text[:300] for r in docs.limit(25).collect()] + ["a", "é", "Das ist!", "x" * 50]
+    names, score, _ = model.decode(texts)
+    for text, name, x in zip(texts, names, score):
+        want, share = plain_language(model, text)
+        assert name == want and x == pytest.approx(share, abs=1e-4)
+    counts = {(r.label, r.bucket): r.n for r in language_codes.ngram_counts(docs.limit(5)).collect()}
+    total = sum(2 * (len(r.text.encode()) + 1) for r in docs.limit(5).collect() if r.lang is not None)
+    assert sum(counts.values()) == total
+
+
+def test_compiled_rules_against_plain_python(spark):
+    docs, labels = docs_of(spark), spark.read.parquet(f"{SF}/labels.parquet")
+    model = rule_ensemble.fit(docs, labels)
+    assert model.rules
+    for r in rule_ensemble.scored(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect():
+        assert r.score == pytest.approx(plain_quality(model, r.text), abs=1e-9) and r.predicted == int(r.score >= rule_ensemble.THRESHOLD)
+
+
+def plain_names(text):
+    """Names of each level of the parsing, symbol by symbol: runs to names, four rounds of coin tossing, cuts at local maxima."""
+    mask = (1 << 64) - 1
+    k1, k2, k3 = int(local_parsing._K1), int(local_parsing._K2), int(local_parsing._K3)
+
+    def mix(x):
+        x = (x + k1) & mask
+        x = (x ^ x >> 30) * k2 & mask
+        x = (x ^ x >> 27) * k3 & mask
+        return x ^ x >> 31
+
+    names = [mix(ord(c)) for c in text]
+    levels = [names]
+    while len(names) > 1 and len(levels) <= local_parsing.MAX_LEVELS:
+        runs = []
+        for x in names:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        names = [x if n == 1 else mix(x ^ n * k2 & mask) for x, n in runs]
+        label, width = names, 64
+        for _ in range(4):
+            new = []
+            for k, x in enumerate(label):
+                apart = x ^ label[k - 1] if k else ~x & ((1 << width) - 1)
+                low = (apart & -apart).bit_length() - 1
+                low = width if apart == 0 else low
+                new.append(2 * low + (x >> low & 1))
+            label, width = new, 8
+        phrases = []
+        for k, x in enumerate(names):
+            top = 0 < k < len(names) - 1 and label[k] > label[k - 1] and label[k] > label[k + 1]
+            if k == 0 or top:
+                phrases.append([])
+            phrases[-1].append(x)
+        names = [mix(sum(mix(x ^ (k + 1) * k1 & mask) for k, x in enumerate(p)) & mask) for p in phrases]
+        levels.append(names)
+    return levels
+
+
+def test_parsing_against_plain_python(monkeypatch):
+    """Every level's names, and likeness near the exact overlap of names."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=n)) for n in (1, 5, 60, 400)] + ["aaaa" * 50, "ab" * 100 + "c" * 30, "é漢😀"]
+    for text in texts:
+        seen, parse = [], local_parsing._parse
+        monkeypatch.setattr(local_parsing, "_parse", lambda names, first: seen.append(parse(names, first)) or seen[-1])
+        local_parsing._sketch([text])
+        monkeypatch.undo()
+        want = plain_names(text)
+        assert [x.tolist() for x, _ in seen][: len(want) - 1] == want[1:]
+    base = rng.choices(words, k=1200)
+    for cut in (0, 100, 400, 1200):
+        other = base[cut:] + rng.choices(words, k=cut)
+        a, b = " ".join(base), " ".join(other)
+        exact = []
+        for x, y in [(plain_names(a), plain_names(b))]:
+            high = [Counter(n for level in z[3:] for n in level) for z in (x, y)]
+            exact = sum((high[0] & high[1]).values()) / sum((high[0] | high[1]).values())
+        got = local_parsing.likeness(*(local_parsing.sketches([t]) for t in (a, b)))[0]
+        assert abs(got - exact) < 0.2, (cut, got, exact)
+
+
+def test_archives_of_many_members():
+    """Records come out of an archive in pieces of any size, of one or many gzip members, also longer than a piece."""
+    import gzip
+
+    block = "é".encode() * 1_500_000
+    record = lambda k, body: b"WARC/1.1\r\nWARC-Record-ID: %d\r\nContent-Length: %d\r\n\r\n" % (k, len(body)) + body + b"\r\n\r\n"
+    parts = [record(0, b"a"), record(1, block), record(2, b""), record(3, b"WARC/1.1\r\n\r\n")]
+    for data in (b"".join(parts), gzip.compress(b"".join(parts)), b"".join(map(gzip.compress, parts))):
+        got = [(at, h["warc-record-id"], b) for at, h, b in warc.parse_records(warc._inflated(data))]
+        assert [x[1:] for x in got] == [("0", b"a"), ("1", block), ("2", b""), ("3", b"WARC/1.1\r\n\r\n")]
+        assert [x[0] for x in got] == [sum(map(len, parts[:k])) for k in range(4)]
+    assert list(warc.parse_records(b"")) == []
+    with pytest.raises(ValueError):
+        list(warc.parse_records(b"not a record"))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -328,17 +567,24 @@ def plain_quality(model, text):
 
 
 def plain_groups(texts):
-    """id -> smallest id of its group: all pairs that agree in two segments' codewords and in enough check bits."""
-    ids, cut = sorted(texts), golay_wide.SEGMENTS * 23
-    bits = np.stack([golay_wide.fingerprint(texts[k]) for k in ids])
-    words = bits[:, :cut].reshape(len(ids), -1, 23) @ (1 << np.arange(23))
-    near = golay_dedup.golay().indices(words.reshape(-1))[:, 0].reshape(len(ids), -1)
-    most = int((1 - (golay_wide.SIMILARITY - golay_wide.MARGIN)) / 2 * golay_wide.CHECK_WORDS * 64)
+    """id -> smallest id of its group, by the exact similarity of all pairs' shingles."""
+
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+    ids = sorted(texts)
+    sets = {k: shingles(texts[k]) for k in ids}
     root = {k: k for k in ids}
-    for i in range(len(ids)):
-        for j in np.flatnonzero(((near[i] == near).sum(axis=1) >= 2) & ((bits[i, cut:] != bits[:, cut:]).sum(axis=1) <= most)):
-            a, b = sorted((root[ids[i]], root[ids[j]]))
-            root = {k: a if r == b else r for k, r in root.items()}
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            if small < 0.8 * large or root[i] == root[j]:
+                continue
+            common = len(sets[i] & sets[j])
+            if common >= 0.8 * (small + large - common):
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if r == b else r for k, r in root.items()}
     return root
 
 
