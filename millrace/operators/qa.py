@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.session import share_code
+from millrace.operators import tree
+from millrace.session import settle, share_code
+
+#: Statuses after which a request may be sent again (fixed values).
+RETRIED = (408, 409, 425, 429, 500, 502, 503, 504)
 
 
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -62,50 +66,213 @@ def sharegpt(turns: DataFrame) -> DataFrame:
     return rows.join(system, "conv_id", "left").select("conv_id", talk.alias("conversations"), "system")
 
 
+# --- a model behind a client ------------------------------------------------
+
+
+class CallError(Exception):
+    """A failed request: its status, None for no answer at all, its text, and the seconds after which the service wants to be asked again."""
+
+    def __init__(self, status: int | None = None, body: str = "", retry_after: float | None = None) -> None:
+        super().__init__(f"{status} {body[:200]}")
+        self.status, self.body, self.retry_after = status, body, retry_after
+
+
+def may_retry(error: Exception) -> bool:
+    """As ``filters.retryable`` says of a status and a text. Other errors than failed requests are not tried again."""
+    if isinstance(error, (ConnectionError, TimeoutError)):
+        return True
+    if not isinstance(error, CallError):
+        return False
+    return error.status is None or error.status in RETRIED or (error.status == 400 and "rate" in error.body.lower())
+
+
 def backoff(attempt: int, retry_after: float | None = None, base: float = 1.0, factor: float = 2.0, least: float = 0.5, most: float = 30.0) -> float:
+    """Seconds before the next try: what the service asks for, else growing with the attempts, both bounded."""
     if retry_after is not None:
-        return min(retry_after, most)
+        return min(max(retry_after, 0.0), most)
     return min(max(base * factor ** (attempt - 1), least), most)
 
 
-def complete(df: DataFrame, prompt: str, client: Callable[[], Callable[[str], str]], out: str = "reply", tries: int = 5, qps: float | None = None, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """``df`` with a model's reply to the column ``prompt``; null after the last failed try.
+def complete(
+    df: DataFrame, prompt: str, client: Callable[[], Callable], out: str = "reply", tries: int = 5, qps: float | None = None, usage: bool = False, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic
+) -> DataFrame:
+    """``df`` with a model's reply to the column ``prompt``, null where no try succeeded; settled, so that each request is paid for once.
 
-    ``client`` makes a function prompt -> reply on the worker; ``qps`` is shared out evenly over the partitions.
+    ``client`` makes a function on the worker that takes a prompt, or the array of
+    (role, content) messages if ``prompt`` is one, and gives the reply, or a dict with
+    ``reply``, ``prompt_tokens`` and ``completion_tokens``. ``qps`` is shared out evenly
+    over the partitions; requests of one are as far apart as that asks for. With
+    ``usage``, columns of attempts, seconds, tokens and the last error follow.
     """
     share_code(df.sparkSession)
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
+    more = [("attempts", T.IntegerType()), ("seconds", T.DoubleType()), ("prompt_tokens", T.LongType()), ("completion_tokens", T.LongType()), ("error", T.StringType())] if usage else []
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType()), *[T.StructField(f"{out}_{n}", k) for n, k in more]])
     gap = df.rdd.getNumPartitions() / qps if qps else 0.0
 
     def run(batches):
-        ask = client()
-        for batch in batches:
-            replies = []
-            for text in batch.column(batch.schema.get_field_index(prompt)).to_pylist():
-                reply = None
-                for attempt in range(1, tries + 1):
-                    if gap:
-                        sleep(gap)
-                    try:
-                        reply = ask(text)
-                        break
-                    except Exception:
-                        if attempt < tries:
-                            sleep(backoff(attempt))
-                replies.append(reply)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replies, pa.string())], [*batch.schema.names, out])
-
-    return df.mapInArrow(run, schema)
-
-
-def generate_pairs(chunks: DataFrame, client, text: str = "chunk", per_chunk: int = 5, least_score: float = 4, **options) -> DataFrame:
-    """Questions on each chunk, an answer to each, and only pairs whose review passes: (question, answer, chunk)."""
-    ask = F.concat(F.lit(f"Write up to {per_chunk} questions that the text answers, as a JSON list of strings.\n\n"), F.col(text))
-    asked = complete(chunks.withColumn("__p", ask), "__p", client, "__r", **options)
-    questions = F.from_json(json_of(F.col("__r")), "array<string>")
-    rows = asked.select("*", F.explode(questions).alias("question")).drop("__r")
-    rows = rows.withColumn("__p", F.concat(F.lit("Answer from the text only.\n\nQuestion: "), "question", F.lit("\n\nText: "), text))
-    rows = complete(rows, "__p", client, "answer", **options).where("answer is not null")
-    rows = rows.withColumn("__p", F.concat(F.lit('Score the answer from 1 to 5 as JSON {"score": n, "reason": "..."}.\n\nQuestion: '), "question", F.lit("\n\nAnswer: "), "answer"))
-    rows = complete(rows, "__p", client, "__r", **options)
-    return reviewed(rows, F.col("__r"), least_score).drop("__p", "__r")
+        ask, free = client(), 0.0
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch, rows = whole.slice(at, 64), []
+                for given in batch.column(batch.schema.get_field_index(prompt)).to_pylist():
+                    got, error, attempt, start = {}, None, 0, clock()
+                    while attempt < tries:
+                        attempt += 1
+                        if gap:
+                            sleep(max(0.0, free - clock()))
+                            free = max(free, clock()) + gap
+                        try:
+                            reply = ask(given)
+                            got, error = (reply if isinstance(reply, dict) else {"reply": reply}), None
+                            break
+                        except Exception as e:
+                            error = f"{type(e).__name__}: {e}"
+                            if not may_retry(e):
+                                break
+                            if attempt < tries:
+                                sleep(backoff(attempt, getattr(e, "retry_after", None)))
+                    rows.append((got.get("reply"), attempt, float(clock() - start), got.get("prompt_tokens"), got.get("completion_tokens"), error))
+                kinds = [pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.string()][: 1 + len(more)]
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema.names)
+
+    return settle(df.mapInArrow(run, schema), "replies")
+
+
+def resumed(rows: DataFrame, path: str, key: str, ask: Callable[[DataFrame], DataFrame], resume: bool = True) -> DataFrame:
+    """``ask`` of those rows whose key has no answer in the table at ``path`` yet, appended to it; then all answers to ``rows``.
+
+    Answers are appended in one commit, so a run that is broken off leaves what
+    earlier runs gave. ``resume=False`` forgets them. A key that is there twice has
+    the answer given last.
+    """
+    spark, done = rows.sparkSession, None
+    if resume:
+        try:
+            done = spark.read.parquet(path)
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
+                raise
+    todo = rows if done is None else rows.join(done.select(key), key, "left_anti")
+    run = 0 if done is None else (done.agg(F.max("__run")).first()[0] or 0) + 1
+    ask(todo).withColumn("__run", F.lit(run)).write.mode("overwrite" if done is None else "append").parquet(path)
+    answers = latest(spark.read.parquet(path), key, "__run").drop("__run")
+    return answers.join(rows.select(key).distinct(), key, "left_semi")
+
+
+# --- prompts: our own words; inputs and form of the reply are what counts ---
+
+
+def question_prompt(text: Column, count: int = 5, field: str = "") -> Column:
+    about = f" for readers in the field of {field}" if field else ""
+    return F.concat(F.lit(f"Write up to {count} questions{about} that the text answers, as a JSON list of strings.\n\n"), text)
+
+
+def answer_prompt(question: Column, text: Column) -> Column:
+    return F.concat(F.lit("Answer from the text only.\n\nQuestion: "), question, F.lit("\n\nText: "), text)
+
+
+def review_prompt(question: Column, answer: Column) -> Column:
+    return F.concat(F.lit('Score the answer from 1 to 5 as JSON {"score": n, "reason": "..."}.\n\nQuestion: '), question, F.lit("\n\nAnswer: "), answer)
+
+
+def label_prompt(question: Column, labels: list[str]) -> Column:
+    return F.concat(F.lit("Choose the one label that fits the question best and reply with it alone. Labels: " + "; ".join(labels) + "\n\nQuestion: "), question)
+
+
+def tree_prompt(texts: list[str]) -> str:
+    return 'Draw up a tree of topics of these texts as a JSON list of {"label": "...", "child": [...]}.\n\n' + "\n\n".join(texts)
+
+
+def image_prompt(text: Column, images: Column, count: int = 5) -> Column:
+    return F.concat(F.repeat(F.lit("<image>"), F.size(images)), F.lit(f"\nWrite up to {count} questions on the images and the text, as a JSON list of strings.\n\n"), text)
+
+
+# --- generation -------------------------------------------------------------
+
+
+def questions_of(chunks: DataFrame, client, text: str = "chunk", per_chunk: int = 5, field: str = "", **options) -> DataFrame:
+    """A row a question, with a qid that depends on chunk and question only; chunks without a readable reply give none."""
+    asked = complete(chunks.withColumn("__p", question_prompt(F.col(text), per_chunk, field)), "__p", client, "__r", **options)
+    rows = asked.select("*", F.explode(F.slice(F.from_json(json_of(F.col("__r")), "array<string>"), 1, per_chunk)).alias("question")).where("question is not null")
+    return rows.withColumn("qid", F.sha2(F.concat_ws("\n", text, "question"), 256)).drop("__p", "__r").dropDuplicates(["qid"])
+
+
+def tagged(questions: DataFrame, client, labels: list[str], fallback: str = "other", **options) -> DataFrame:
+    """``questions`` with a label: the model's choice where it is one of ``labels``, else ``fallback``."""
+    asked = complete(questions.withColumn("__p", label_prompt(F.col("question"), labels)), "__p", client, "__r", **options)
+    chosen = F.trim("__r")
+    return asked.withColumn("label", F.when(chosen.isin(labels), chosen).otherwise(fallback)).drop("__p", "__r")
+
+
+def tree_rows(reply: str) -> list[tuple] | None:
+    """(node_id, parent_id, label, ordinal) of a JSON tree of labels; None where the reply has none."""
+    import json
+    import re
+
+    for found in (reply, *re.findall(r"(?s)```json\s*(.*?)```", reply), *re.findall(r"(?s)\[.*\]", reply)):
+        try:
+            tree = json.loads(found)
+        except ValueError:
+            continue
+        rows: list[tuple] = []
+
+        def put(nodes, parent) -> None:
+            for k, node in enumerate(nodes if isinstance(nodes, list) else []):
+                if isinstance(node, dict) and isinstance(node.get("label"), str):
+                    rows.append((len(rows) + 1, parent, node["label"], k))
+                    put(node.get("child"), rows[-1][0])
+
+        put(tree, None)
+        if rows:
+            return rows
+    return None
+
+
+def label_tree(spark, texts: list[str], client, tries: int = 10) -> DataFrame | None:
+    """A tree of topics from one request on the driver; None if no try gives one, and the run goes on without labels."""
+    ask = client()
+    for _ in range(tries):
+        try:
+            reply = ask(tree_prompt(texts))
+        except Exception as e:
+            if not may_retry(e):
+                return None
+            continue
+        if rows := tree_rows(reply["reply"] if isinstance(reply, dict) else reply):
+            return spark.createDataFrame(rows, "node_id long, parent_id long, label string, ordinal int")
+    return None
+
+
+def generate_pairs(
+    chunks: DataFrame, client, text: str = "chunk", per_chunk: int = 5, least_score: float = 4, nodes: DataFrame | None = None, checkpoint: str | None = None, resume: bool = True, **options
+) -> DataFrame:
+    """(qid, instruction, input, output, label, tag_path, context): questions on each chunk, labelled by a tree if there is one, an answer to each, and only pairs whose review passes."""
+    rows = questions_of(chunks, client, text, per_chunk, **options)
+    if nodes is not None:
+        places = tree.first_paths(nodes).select("label", F.col("path").alias("tag_path"))
+        names = sorted(r.label for r in places.select("label").collect())  # a label tree is small metadata
+        rows = tagged(rows, client, names, **options).join(places, "label", "left")
+    else:
+        rows = rows.withColumn("label", F.lit("")).withColumn("tag_path", F.lit(None).cast("string"))
+
+    def answered(some: DataFrame) -> DataFrame:
+        got = complete(some.withColumn("__p", answer_prompt(F.col("question"), F.col(text))), "__p", client, "answer", **options).where("answer is not null")
+        got = complete(got.withColumn("__p", review_prompt(F.col("question"), F.col("answer"))), "__p", client, "review", **options)
+        return got.drop("__p")
+
+    done = answered(rows) if checkpoint is None else resumed(rows, checkpoint, "qid", answered, resume)
+    kept = reviewed(done, F.col("review"), least_score)
+    return kept.select("qid", F.col("question").alias("instruction"), F.lit("").alias("input"), F.col("answer").alias("output"), "label", "tag_path", F.col(text).alias("context"))
+
+
+# --- tool episodes, simulated ------------------------------------------------
+
+
+def simulate_calls(episodes: DataFrame, catalog: DataFrame, key: str = "episode_id", tools: str = "tools") -> DataFrame:
+    """(episode_id, tool_calls): each proposed tool in order with its path and a made answer; one that is not in the catalogue is recorded as failed, and the episode goes on."""
+    rows = episodes.select(key, F.posexplode(tools).alias("pos", "name"))
+    known = catalog.select(F.col("identifier").alias("name"), "path")
+    ok = F.col("path").isNotNull()
+    call = F.struct("pos", "name", "path", F.when(ok, "ok").otherwise("failed").alias("status"), F.when(ok, F.concat(F.lit("simulated answer of "), "name")).otherwise(F.concat(F.lit("unknown tool "), "name")).alias("answer"))
+    return rows.join(known, "name", "left").groupBy(key).agg(F.array_sort(F.collect_list(call)).alias("tool_calls"))

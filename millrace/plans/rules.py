@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions import chunk, office, text_rules
+from millrace.functions import chunk, filters, html, office, text_rules
 from millrace.functions.tables import CODE_LANGUAGES
-from millrace.operators import reports
+from millrace.operators import crawl, images, metrics, reports, tree
 from millrace.plans.catalogue import query
 from millrace.session import table
 from millrace.sources import files
@@ -269,3 +269,75 @@ def all_transcripts(spark, sf_dir):
     calls = table(spark, sf_dir, "conversations").select(F.lit("call").alias("kind"), F.col("text").alias("question"), F.col("role").alias("stage"))
     pairs = _pairs(spark, sf_dir).select(F.lit("pair").alias("kind"), "question", "answer")
     return pairs.unionByName(calls, allowMissingColumns=True)
+
+
+# --- crawled records, images, lookups, run reports ---
+
+_TITLE = "trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))"
+_LANG = "regexp_extract(html, '(?i)<html[^>]* lang=[\"'']?([A-Za-z-]+)', 1)"
+_TEXT = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<[^>]+>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))"
+_HREFS = "list_filter(regexp_extract_all(html, '(?i)<a [^>]*href=[\"'']([^\"'']*)[\"'']', 1), lambda x: x <> '' and not regexp_matches(lower(x), '^(javascript:|mailto:|tel:)'))"
+
+
+@query("page_markdown", f"""with p as (select page_id, url, {_TITLE} as t, {_LANG} as g, {_TEXT} as x, list_transform({_HREFS}, lambda h: '- [Link](' || h || ')') as l from pages)
+select page_id, concat_ws(chr(10), '# ' || case when t = '' then 'Web Page' else t end || chr(10), '**URL:** [' || url || '](' || url || ')' || chr(10), case when g <> '' then '**Language:** ' || g || chr(10) end, case when x <> '' then '## Content' || chr(10) || chr(10) || x || chr(10) end,
+case when len(l) > 0 then '## Links' || chr(10) || chr(10) || array_to_string(case when len(l) > 20 then list_append(l[1:20], chr(10) || '*... and ' || (len(l) - 20) || ' more links*') else l end, chr(10)) || chr(10) end) as markdown from p""")
+def page_markdown(spark, sf_dir):
+    h, none = F.col("html"), F.lit(None).cast("string")
+    links = F.transform(html.hrefs_of(h), lambda x: F.struct(x.alias("url"), F.lit("").alias("text")))
+    return _pages(spark, sf_dir).select("page_id", crawl.page_markdown(html.title_of(h), F.col("url"), none, html.lang_of(h), html.text_of(h), links, none).alias("markdown"))
+
+
+@query("paper_markdown", """select page_id, '# ' || url || chr(10) || chr(10) || '**ArXiv ID:** ' || page_id || chr(10) || chr(10) || '**Authors:** A, B' || chr(10) || chr(10) || '**Published:** d0' || chr(10) || case when page_id % 2 = 1 then chr(10) || '**Updated:** d1' || chr(10) else '' end || chr(10) || '## Abstract' || chr(10) || chr(10) || 'about ' || url || chr(10) as markdown from pages""")
+def paper_markdown(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    updated = F.concat(F.lit("d"), (F.col("page_id") % 2).cast("string"))
+    got = crawl.paper_markdown(F.col("url"), F.col("page_id").cast("string"), F.array(F.lit("A"), F.lit("B")), F.array().cast("array<string>"), F.lit("d0"), updated, none, none, F.concat(F.lit("about "), "url"), none)
+    return _pages(spark, sf_dir).select("page_id", got.alias("markdown"))
+
+
+@query("search_results", "select url, trim(url) as title, 'about ' || page_id as description, '' as summary, '' as site_name, cast(page_id as varchar) as date_published, url as display_url from pages")
+def search_results(spark, sf_dir):
+    rows = _pages(spark, sf_dir).select("url", F.lit(" ").alias("title"), F.col("url").alias("name"), F.concat(F.lit("about "), "page_id").alias("snippet"), F.col("page_id").alias("dateLastCrawled"))
+    return crawl.search_results(rows)
+
+
+@query("image_marks", rf"select doc_id, '||image_placeholder_0|| ' || text || ' ||image_placeholder_1|| ||image_placeholder_2||' as text, 'x' || doc_id || '.png,y.png,x' || doc_id || '.png' as images, '0,1,2' as places from documents")
+def image_marks(spark, sf_dir):
+    image = F.concat(F.lit("](x"), "doc_id", F.lit(".png)"))
+    text = F.concat(F.lit("![a"), image, F.lit(" "), "text", F.lit(" ![b](y.png) !["), image)
+    rows = _docs(spark, sf_dir).select("doc_id", text.alias("t")).select("doc_id", images.with_marks(F.col("t")).alias("text"), images.images_of(F.col("t")).alias("i"))
+    return rows.select("doc_id", "text", F.array_join("i", ",").alias("images"), F.array_join(images.marked_places(F.col("text")).cast("array<string>"), ",").alias("places"))
+
+
+@query("tree_lookup", "select c_custkey, r_name || '/' || n_name as path from customer left join nation on c_nationkey = n_nationkey and c_nationkey % 3 > 0 left join region on n_regionkey = r_regionkey")
+def tree_lookup(spark, sf_dir):
+    """Each customer's label, known for two thirds of the nations, to its path in the tree; null for the others. One label is there twice: the first, depth first, stands."""
+    top = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_name").alias("label"), F.col("r_regionkey").alias("ordinal"))
+    nation = table(spark, sf_dir, "nation")
+    leaf = nation.select(F.concat(F.lit("n"), "n_nationkey").alias("node_id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"), F.col("n_name").alias("label"), F.col("n_nationkey").alias("ordinal"))
+    again = nation.where("n_nationkey = 7").select(F.lit("again").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.col("n_name").alias("label"), F.lit(99).alias("ordinal"))
+    places = tree.first_paths(top.unionByName(leaf).unionByName(again)).select("label", "path")
+    labels = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_nationkey") % 3 > 0, F.concat(F.lit("NATION_"), "c_nationkey")).otherwise("").alias("label"))
+    return labels.join(places, "label", "left").select("c_custkey", "path")
+
+
+@query("run_report", """with c as (select event_type as stage, user_id as run_id, epoch_us(ts) / 1e6 as s, value as d, cast(user_id as bigint) as p, cast(json_extract_string(props, '$.k') as bigint) as q from events),
+g as (select stage, count(distinct run_id) as runs, count(*) as requests, sum(d) as request_seconds, max(s + d) - min(s) as seconds, sum(p) as prompt_tokens, sum(coalesce(q, 0)) as completion_tokens from c group by stage)
+select stage, runs, requests as items, requests, cast(prompt_tokens as bigint) as prompt_tokens, cast(completion_tokens as bigint) as completion_tokens, round(seconds, 1) as seconds, round(requests / seconds, 6) as items_per_second, round(60 * requests / seconds, 6) as items_per_minute,
+round(request_seconds / requests, 6) as seconds_per_request, round(60 * requests / seconds, 6) as requests_per_minute, round(request_seconds / seconds, 6) as concurrency, round((prompt_tokens + completion_tokens) / seconds, 6) as tokens_per_second, round((prompt_tokens + completion_tokens) / requests, 6) as tokens_per_request from g""")
+def run_report(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    calls = e.select(F.col("event_type").alias("stage"), F.col("user_id").alias("run_id"), F.col("ts").alias("started"), F.col("value").alias("seconds"), F.col("user_id").alias("prompt_tokens"), F.get_json_object("props", "$.k").cast("long").alias("completion_tokens"), F.lit(1).alias("items"))
+    got = metrics.run_report(calls)
+    rounded = ("items_per_second", "items_per_minute", "seconds_per_request", "requests_per_minute", "concurrency", "tokens_per_second", "tokens_per_request")
+    return got.select("stage", "runs", "items", "requests", "prompt_tokens", "completion_tokens", F.round("seconds", 1).alias("seconds"), *[F.round(c, 6).alias(c) for c in rounded])
+
+
+@query("may_retry", "select event_id, event_type = 'view' or user_id % 600 in (408, 409, 425, 429, 500, 502, 503, 504) or (event_type = 'error' and true) as again from (select event_id, event_type, user_id from events)")
+def may_retry(spark, sf_dir):
+    """No answer for views, a rate limit for errors, else the user's number as a status."""
+    e = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "view", None).when(F.col("event_type") == "error", 400).otherwise(F.col("user_id") % 600)
+    body = F.when(F.col("event_type") == "error", "Rate limit").otherwise("x")
+    return e.select("event_id", filters.retryable(status, body).alias("again"))

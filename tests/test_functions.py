@@ -99,7 +99,7 @@ def test_generated_pairs(spark):
         return ask
 
     chunks = spark.createDataFrame([("text",)], "chunk string")
-    assert [(r.question, r.answer) for r in qa.generate_pairs(chunks, client).collect()] == [("q1", "a")]
+    assert [(r.instruction, r.output, r.label) for r in qa.generate_pairs(chunks, client).collect()] == [("q1", "a", "")]
 
 
 def test_files(spark, tmp_path):
