@@ -91,6 +91,31 @@ def diversity(captions: list[str], order: int = 4) -> float:
     return 0.0 if not root.sum() else float(-math.log(root.max() / root.sum()) / math.log(len(captions)))
 
 
+def diversity_of(captions: DataFrame, group: str, text: str) -> DataFrame:
+    """(group, captions, diversity). The matrix of a group's captions is square in their number, so a group is the captions of one image, not of a corpus."""
+    measured = F.pandas_udf(lambda rows: rows.map(lambda x: diversity(list(x))), T.DoubleType())
+    rows = captions.where(F.col(text).isNotNull()).groupBy(group).agg(F.array_sort(F.collect_list(text)).alias("__t"))
+    return rows.select(group, F.size("__t").alias("captions"), measured("__t").alias("diversity"))
+
+
+def mean_scores(scores: DataFrame, columns: tuple[str, ...] = ("precision", "recall", "f1")) -> DataFrame:
+    """One row of means over pairs; the scores come from any model."""
+    return scores.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in columns])
+
+
+def client_score(df: DataFrame, prompt: str, client, tries: int = 3, **options) -> DataFrame:
+    """``df`` with the score of a judging model from 0 to 1 and its error: 0.0 where all tries failed or the reply is no number."""
+    from millrace.operators import qa
+
+    got = qa.complete(df, prompt, client, "__s", tries=tries, usage=True, **options)
+    return got.withColumn("score", F.coalesce(unit_score(F.col("__s")), F.lit(0.0))).withColumn("error", F.col("__s_error")).select(*df.columns, "score", "error")
+
+
+def image_fidelity(df: DataFrame) -> DataFrame:
+    """A measure that is named and not there: every row says so."""
+    return df.withColumn("status", F.lit("not_implemented")).withColumn("fidelity", F.lit(None).cast("double"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))

@@ -264,3 +264,44 @@ def rouge_1(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("c"))
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("r"))
     return evaluate.rouge_n(d.join(b, "doc_id"), "doc_id", "c", "r").select("doc_id", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query("rouge_2", f"""with p as (select item_id as doc_id, {_TOKENS.format('d.text')} as c, {_TOKENS.format('b.text')} as r from benchmark b join documents d on d.doc_id = b.item_id),
+q as (select doc_id, list_transform(range(1, len(c)), lambda i: c[i] || ' ' || c[i + 1]) as c, list_transform(range(1, len(r)), lambda i: r[i] || ' ' || r[i + 1]) as r from p),
+g as (select doc_id, unnest(c) as gram, 1 as c, 0 as r from q union all select doc_id, unnest(r), 0, 1 from q), n as (select doc_id, gram, sum(c) as c, sum(r) as r from g group by all),
+s as (select doc_id, sum(least(c, r)) as hit, sum(c) as c, sum(r) as r from n group by doc_id)
+select doc_id, round(case when c > 0 then hit / c else 0 end, 6)::double as precision, round(case when r > 0 then hit / r else 0 end, 6)::double as recall, round(case when hit > 0 then 2 * hit / (c + r) else 0 end, 6)::double as f1 from s""")
+def rouge_2(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("c"))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("r"))
+    return evaluate.rouge_n(d.join(b, "doc_id"), "doc_id", "c", "r", 2).select("doc_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("rouge_l")
+def rouge_l(spark, sf_dir):
+    """Longest common subsequences of user and assistant turns that follow one another."""
+    from millrace.plans.relations import _pairs
+
+    share_code(spark)
+    return _pairs(spark, sf_dir).select("conv_id", "turn", evaluate.rouge_l("answer", "question").alias("f1"))
+
+
+@query("bleu")
+def bleu(spark, sf_dir):
+    """Each answer against its question as the one reference."""
+    from millrace.plans.relations import _pairs
+
+    share_code(spark)
+    return _pairs(spark, sf_dir).select("conv_id", "turn", evaluate.bleu_score("answer", F.array("question")).alias("bleu"))
+
+
+@query("caption_diversity")
+def caption_diversity(spark, sf_dir):
+    """The turns of a conversation as captions of one image."""
+    share_code(spark)
+    return evaluate.diversity_of(table(spark, sf_dir, "conversations"), "conv_id", "text")
+
+
+@query("mean_scores", "select avg(quality)::double as quality, avg(toxic)::double as toxic from labels")
+def mean_scores(spark, sf_dir):
+    return evaluate.mean_scores(table(spark, sf_dir, "labels"), ("quality", "toxic"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import csv
 import io
 import json
+import posixpath
 import re
 import zipfile
 from html import unescape
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -17,6 +19,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.chunk import split_json
 from millrace.functions.html import read_html
+from millrace.functions.office import mht_to_text
 from millrace.functions.tables import DOCUMENTS, CODE_LANGUAGES, IMAGES
 from millrace.session import share_code
 
@@ -75,7 +78,9 @@ def docx_text(raw: bytes) -> str:
                     out.append(text)
         return out
 
-    body = [x for _, xml in _parts(raw, "word/document.xml") for x in paragraphs(xml)]
+    # Whole pages put into a document stand in parts of their own; then the body has little else.
+    inside = [mht_to_text(x) for _, x in _parts(raw, r"word/.*\.(mht|mhtml|html?)")]
+    body = [x for _, xml in _parts(raw, "word/document.xml") for x in paragraphs(xml)] + [x for x in inside if x]
     edges = list(dict.fromkeys(x for _, xml in _parts(raw, r"word/(header|footer)\d*\.xml") for x in paragraphs(xml)))
     notes = [x for _, xml in _parts(raw, r"word/comments\.xml") for x in paragraphs(xml)]
     found = [("", body), ("[Header/Footer]\n", edges), ("[Comments]\n", notes)]
@@ -116,8 +121,22 @@ def xlsx_text(raw: bytes) -> str:
     return "\n\n".join(out)
 
 
+def _spine(z: zipfile.ZipFile) -> list[str]:
+    """Names of a book's documents in reading order; all, by name, where the package doesn't say."""
+    names = set(z.namelist())
+    try:
+        package = next(e.get("full-path") for e in ElementTree.fromstring(z.read("META-INF/container.xml")).iter() if _local(e) == "rootfile")
+        root, folder = ElementTree.fromstring(z.read(package)), posixpath.dirname(package)
+        of = {e.get("id"): posixpath.normpath(posixpath.join(folder, unquote(e.get("href") or ""))) for e in root.iter() if _local(e) == "item"}
+        found = [of[e.get("idref")] for e in root.iter() if _local(e) == "itemref" and of.get(e.get("idref")) in names]
+    except (KeyError, StopIteration, ElementTree.ParseError):
+        found = []
+    return found or sorted(n for n in names if re.fullmatch(r".*\.x?html?", n))
+
+
 def epub_text(raw: bytes) -> str:
-    return "".join(read_html(decode(x))["text"] for _, x in _parts(raw, r".*\.x?html?")).replace("　", " ")
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        return "".join(read_html(decode(z.read(n)))["text"] for n in _spine(z)).replace("　", " ")
 
 
 def html_markdown(raw: bytes) -> str:
