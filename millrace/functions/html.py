@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 SKIPPED = {"script", "style", "nav", "header", "footer"}
 HEADERS = {f"h{k}": k for k in range(1, 7)}
+#: Fields of a page's metadata (fixed values); keywords are an array, and the canonical address is the page's own where none is named.
+FIELDS = ("title", "description", "author", "language", "canonical_url", "og_title", "og_description", "og_image", "twitter_title", "twitter_description")
 
 
 def text_of(c: Column) -> Column:
@@ -47,11 +49,11 @@ class _Reader(HTMLParser):
         a = dict(attrs)
         self.skip += tag in SKIPPED
         if tag == "html" and a.get("lang"):
-            self.meta["lang"] = a["lang"]
+            self.meta["language"] = a["lang"]
         elif tag == "title":
             self.in_title = True
         elif tag == "meta" and (name := (a.get("name") or a.get("property") or "").lower()):
-            self.meta.setdefault(name.removeprefix("og:"), a.get("content") or "")
+            self.meta.setdefault(name.replace("og:", "og_").replace("twitter:", "twitter_"), a.get("content") or "")
         elif tag == "link" and (a.get("rel") or "").lower() == "canonical":
             self.meta["canonical_url"] = urljoin(self.base, a.get("href") or "")
         elif tag == "a":
@@ -94,15 +96,17 @@ def read_html(html: str, base: str = "") -> dict:
     reader.close()
     lines = (" ".join(p.strip() for p in line.split("  ") if p.strip()) for line in "".join(reader.text).splitlines())
     sections = [{"level": level, "header": header.strip(), "body": "\n".join(body)} for level, header, body in reader.sections if header.strip() or body]
-    keep = ("title", "description", "keywords", "author", "lang", "canonical_url", "type", "image", "site_name")
-    return {"text": " ".join(x for x in lines if x), "metadata": {k: reader.meta[k].strip() for k in keep if k in reader.meta}, "links": reader.links, "sections": sections}
+    words = [x.strip() for x in reader.meta.get("keywords", "").split(",") if x.strip()]
+    metadata = {k: reader.meta.get(k, "").strip() for k in FIELDS} | {"keywords": words}
+    metadata["canonical_url"] = metadata["canonical_url"] or base
+    return {"text": " ".join(x for x in lines if x), "metadata": metadata, "links": reader.links, "sections": sections}
 
 
 _TEXT = T.StringType()
 _LINK = T.StructType([T.StructField(x, _TEXT) for x in ("url", "text", "title")])
 _SECTION = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("header", _TEXT), T.StructField("body", _TEXT)])
 SCHEMA = T.StructType(
-    [T.StructField("text", _TEXT), T.StructField("metadata", T.MapType(_TEXT, _TEXT)), T.StructField("links", T.ArrayType(_LINK)), T.StructField("sections", T.ArrayType(_SECTION))]
+    [T.StructField("text", _TEXT), T.StructField("metadata", T.StructType([*[T.StructField(x, _TEXT) for x in FIELDS], T.StructField("keywords", T.ArrayType(_TEXT))])), T.StructField("links", T.ArrayType(_LINK)), T.StructField("sections", T.ArrayType(_SECTION))]
 )
 
 

@@ -57,6 +57,24 @@ def image_chunks(texts: DataFrame, path: str = "path", text: str = "text", size:
     return rows.select(path, "chunk_index", F.trim(F.regexp_replace("chunk", MARK, "")).alias("text"), _resolved(shown, F.col(path)).alias("images"))
 
 
+def valid_messages(messages: Column, images: Column) -> Column:
+    """Whether there are two turns or more, a user and an assistant among them, and an image path for each image token."""
+    role = lambda name: F.exists(messages, lambda m: m["role"] == name)
+    tokens = F.aggregate(messages, F.lit(0), lambda n, m: n + F.regexp_count(F.coalesce(m["content"], F.lit("")), F.lit("<image>")))
+    named = F.forall(images, lambda x: x.isNotNull() & (x != ""))
+    return F.coalesce((F.size(messages) >= 2) & role("user") & role("assistant") & named & (tokens == F.size(images)), F.lit(False))
+
+
+def generate_image_pairs(chunks: DataFrame, client, text: str = "text", images: str = "images", per_chunk: int = 5, **options) -> DataFrame:
+    """(messages, images): questions on chunks that show images, and answers to them."""
+    from millrace.operators import qa
+
+    asked = qa.complete(chunks.withColumn("__p", qa.image_prompt(F.col(text), F.col(images), per_chunk)), "__p", client, "__r", **options)
+    rows = asked.select(text, images, F.explode(F.slice(F.from_json(qa.json_of(F.col("__r")), "array<string>"), 1, per_chunk)).alias("question")).where("question is not null")
+    rows = qa.complete(rows.withColumn("__p", qa.answer_prompt(F.col("question"), F.col(text))), "__p", client, "answer", **options).where("answer is not null")
+    return rows.select(image_messages(F.col("question"), F.col("answer"), F.col(images)).alias("messages"), F.col(images).alias("images"))
+
+
 def image_messages(question: Column, answer: Column, images: Column) -> Column:
     """A user and an assistant message; the user's begins with one token an image."""
     lead = F.repeat(F.lit("<image>"), F.size(images))

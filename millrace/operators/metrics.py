@@ -43,3 +43,8 @@ def run_report(calls: DataFrame, stage: str = "stage", run: str = "run_id", seco
         "*", per("items", "seconds", "items_per_second"), per("items", "seconds", "items_per_minute", 60), per("request_seconds", "requests", "seconds_per_request"),
         per("requests", "seconds", "requests_per_minute", 60), per("request_seconds", "seconds", "concurrency"), per("total_tokens", "seconds", "tokens_per_second"), per("total_tokens", "requests", "tokens_per_request"),
     )
+
+
+def run_totals(calls: DataFrame, **columns) -> DataFrame:
+    """One row for a whole run, with the columns of ``run_report`` but the stage; no calls give no row."""
+    return run_report(calls.withColumn("__all", F.lit("all")), stage="__all", **columns).drop("stage")

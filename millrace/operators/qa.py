@@ -276,3 +276,47 @@ def simulate_calls(episodes: DataFrame, catalog: DataFrame, key: str = "episode_
     ok = F.col("path").isNotNull()
     call = F.struct("pos", "name", "path", F.when(ok, "ok").otherwise("failed").alias("status"), F.when(ok, F.concat(F.lit("simulated answer of "), "name")).otherwise(F.concat(F.lit("unknown tool "), "name")).alias("answer"))
     return rows.join(known, "name", "left").groupBy(key).agg(F.array_sort(F.collect_list(call)).alias("tool_calls"))
+
+
+def agent_episodes(contexts: DataFrame, catalog: DataFrame, client, key: str = "context_id", text: str = "context", per_context: int = 3, most_tools: int = 5, least_score: float = 4, **options) -> DataFrame:
+    """(episode_id, question, tools, tool_calls, final_answer, conversations): questions on each context, the tools proposed for each, their simulated calls, an answer from those, and a review that has to pass.
+
+    ``catalog`` (identifier, path) is small metadata; proposed tools that it lacks are
+    recorded as failed calls. The limits are what the model is held to.
+    """
+    ask = F.concat(F.lit(f"Write up to {per_context} questions that the tools can answer, as a JSON list of strings.\n\n"), F.col(text))
+    rows = complete(contexts.withColumn("__p", ask), "__p", client, "__r", **options)
+    rows = rows.select(key, text, F.explode(F.slice(F.from_json(json_of(F.col("__r")), "array<string>"), 1, per_context)).alias("question")).where("question is not null")
+    rows = rows.withColumn("episode_id", F.sha2(F.concat_ws("\n", F.col(key).cast("string"), "question"), 256))
+    rows = complete(rows.withColumn("__p", F.concat(F.lit("Name the tools to call, as a JSON list of their names in order.\n\nQuestion: "), "question", F.lit("\n\n"), text)), "__p", client, "__r", **options)
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("tools", F.slice(F.coalesce(F.from_json(json_of(F.col("__r")), "array<string>"), none), 1, most_tools)).drop("__p", "__r")
+    rows = rows.join(simulate_calls(rows, catalog, "episode_id"), "episode_id", "left")
+    found = F.array_join(F.transform("tool_calls", lambda c: F.concat(c["name"], F.lit(": "), c["answer"])), "\n")
+    rows = complete(rows.withColumn("__p", F.concat(F.lit("Answer from what the tools gave.\n\nQuestion: "), "question", F.lit("\n\n"), F.coalesce(found, F.lit("")))), "__p", client, "final_answer", **options)
+    rows = complete(rows.where("final_answer is not null").withColumn("__p", review_prompt(F.col("question"), F.col("final_answer"))), "__p", client, "__r", **options)
+    said = lambda name, value: F.struct(F.lit(name).alias("from"), value.cast("string").alias("value"))
+    calls = F.flatten(F.transform(F.coalesce("tool_calls", F.expr("cast(array() as array<struct<pos:int,name:string,path:string,status:string,answer:string>>)")), lambda c: F.array(said("function_call", c["name"]), said("observation", c["answer"]))))
+    talk = F.concat(F.array(said("human", F.col("question"))), calls, F.array(said("gpt", F.col("final_answer"))))
+    return reviewed(rows, F.col("__r"), least_score).select("episode_id", "question", "tools", "tool_calls", "final_answer", talk.alias("conversations"))
+
+
+def crawl_to_report(pages: DataFrame, client, html_col: str = "html", size: int = 500, overlap: int = 100, least_score: float = 4, **options) -> tuple[DataFrame, DataFrame]:
+    """(report of one row, pairs kept): pages to text, chunks, questions and answers, reviewed. A stage that gives nothing is an error that names it."""
+    from millrace.functions import chunk, html
+
+    def there(df: DataFrame, name: str) -> DataFrame:
+        df = settle(df, f"crawl-{name}")
+        if df.isEmpty():
+            raise ValueError(f"nothing after {name}")
+        return df
+
+    texts = there(pages.select(html.text_of(F.col(html_col)).alias("text")).where("text <> ''"), "texts")
+    chunks = there(chunk.chunk_rows(texts, "text", size, overlap).select("chunk"), "chunks")
+    questions = there(questions_of(chunks, client, **options), "questions")
+    answered = complete(questions.withColumn("__p", answer_prompt(F.col("question"), F.col("chunk"))), "__p", client, "answer", **options).where("answer is not null")
+    answered = there(complete(answered.withColumn("__p", review_prompt(F.col("question"), F.col("answer"))), "__p", client, "review", **options).drop("__p"), "answers")
+    kept = settle(reviewed(answered, F.col("review"), least_score), "crawl-kept")
+    passed = reviewed(answered.select("review", F.lit(1).alias("kept")), F.col("review"), least_score).select("kept")
+    report = answered.select(F.lit(1).alias("pair"), F.lit(None).cast("int").alias("kept")).unionByName(passed.select(F.lit(None).cast("int").alias("pair"), "kept")).agg(F.count("pair").alias("pairs"), F.count("kept").alias("kept"))
+    return report.withColumn("pass_rate", F.when(F.col("pairs") > 0, F.col("kept") / F.col("pairs")).otherwise(0.0)), kept

@@ -147,7 +147,11 @@ def html_markdown(raw: bytes) -> str:
 
 
 def json_text(raw: bytes) -> str:
-    return "\n".join(split_json(json.loads(decode(raw))))
+    value = json.loads(decode(raw))
+    try:
+        return "\n".join(split_json(value))
+    except RecursionError:
+        return json.dumps(value, ensure_ascii=False, indent=2)
 
 
 def csv_text(raw: bytes) -> str:

@@ -175,3 +175,68 @@ def test_edges_of_trees(spark):
     assert tree.visualize(empty) == "" and tree.edit(empty, "Add node: A")[1] == "done"
     with pytest.raises(ValueError):
         tree.paths(spark.createDataFrame([(1, None, "A", 0), (2, 1, "B", 0), (1, 2, "A", 0)], NODES))
+
+
+def test_image_pairs(spark):
+    def client():
+        return lambda prompt: '["q1", "q2"]' if "JSON list" in prompt else "a"
+
+    chunks = spark.createDataFrame([("text", ["/a.png", "/b.png"])], "text string, images array<string>")
+    got = images.generate_image_pairs(chunks, client, per_chunk=1).select("*", images.valid_messages(F.col("messages"), F.col("images")).alias("ok")).collect()
+    assert len(got) == 1 and got[0].ok and got[0].messages[0].content == "<image><image>q1"
+    bad = spark.sql("select array(named_struct('role', 'user', 'content', '<image>x')) as m, array('a') as i")
+    assert bad.select(images.valid_messages(F.col("m"), F.col("i")).alias("y")).first().y is False
+
+
+def test_agent_episodes(spark):
+    def client():
+        def ask(prompt):
+            if prompt.startswith("Write"):
+                return '["q1", "q2", "q3"]'
+            if prompt.startswith("Name"):
+                return '["a", "unknown"]' if "q1" in prompt else "none"
+            if prompt.startswith("Answer"):
+                return "said " + prompt.rpartition("\n")[2]
+            return '{"score": 5}'
+
+        return ask
+
+    contexts = spark.createDataFrame([(1, "tools a and b")], "context_id int, context string")
+    got = {r.question: r for r in qa.agent_episodes(contexts, spark.createDataFrame([("a", "/a")], "identifier string, path string"), client, per_context=2).collect()}
+    assert set(got) == {"q1", "q2"} and [c.status for c in got["q1"].tool_calls] == ["ok", "failed"] and got["q2"].tool_calls is None
+    assert [x["from"] for x in got["q1"].conversations] == ["human", "function_call", "observation", "function_call", "observation", "gpt"]
+    assert got["q1"].final_answer == "said unknown: unknown tool unknown" and [x["from"] for x in got["q2"].conversations] == ["human", "gpt"]
+
+
+def test_crawl_to_report(spark):
+    def client():
+        def ask(prompt):
+            if prompt.startswith("Write"):
+                return '["good", "bad"]'
+            return "a" if prompt.startswith("Answer") else '{"score": 5}' if "good" in prompt else '{"score": 1}'
+
+        return ask
+
+    pages = spark.createDataFrame([("<p>some text</p>",), ("<p></p>",)], "html string")
+    report, kept = qa.crawl_to_report(pages, client)
+    assert tuple(report.first()) == (2, 1, 0.5) and [r.question for r in kept.collect()] == ["good"]
+    with pytest.raises(ValueError, match="texts"):
+        qa.crawl_to_report(pages.limit(0), client)
+    with pytest.raises(ValueError, match="questions"):
+        qa.crawl_to_report(pages, lambda: lambda p: "no list")
+
+
+def test_totals_of_no_calls(spark):
+    calls = spark.createDataFrame([], "run_id string, started string, seconds double, prompt_tokens long, completion_tokens long, items long")
+    assert metrics.run_totals(calls).count() == 0
+
+
+def test_page_metadata():
+    from millrace.functions.html import read_html
+
+    page = '<html lang="fr"><head><title> T </title><meta name="keywords" content="a, b,,"><meta property="og:title" content="O"><meta name="twitter:title" content="W"><link rel="canonical" href="/c"></head><a href="/x" title="t">L</a><a href="mailto:a"></a></html>'
+    got = read_html(page, "http://h/p")
+    assert got["metadata"]["keywords"] == ["a", "b"] and got["metadata"]["canonical_url"] == "http://h/c" and got["metadata"]["language"] == "fr"
+    assert (got["metadata"]["title"], got["metadata"]["og_title"], got["metadata"]["twitter_title"], got["metadata"]["author"]) == ("T", "O", "W", "")
+    assert got["links"] == [{"url": "http://h/x", "text": "L", "title": "t"}] and len(got["metadata"]) == 11
+    assert read_html("", "http://h/p")["metadata"]["canonical_url"] == "http://h/p"
