@@ -76,6 +76,11 @@ def nlp_clean(c: Column) -> Column:
     return F.trim(single_space(remove_invisible_chars(remove_abnormal_chars(remove_html_tags(c)))))
 
 
+def markdown_format(c: Column) -> Column:
+    """The text as it is: a step that is named and does nothing."""
+    return c
+
+
 def references(c: Column, bracketed: bool = False) -> Column:
     """Distinct references of a text, sorted, one a line: links, DOIs, two-author citations; opt-in years and numbers in brackets."""
     patterns = [r"DOI:[ \t]?[^ \t\r\n]+|https?://[^ \t\r\n]+", r"[A-Z][a-z]+ and [A-Z][a-z]+,? \(?[0-9]{4}\)?"]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 _ROOT = str(Path(__file__).resolve().parent.parent)
 #: Used only where the session names no spark.checkpoint.dir (tests, local runs).
 LOCAL_SCRATCH = "file:///tmp/checkpoints"
+_written: list[str] = []
 
 
 def share_code(spark: SparkSession) -> None:
@@ -26,13 +27,17 @@ def share_code(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir, or a local one where it is unset."""
+    """The shared folder named by spark.checkpoint.dir; where it is unset, a local one, for local runs only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     return (root or LOCAL_SCRATCH).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/millrace-{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/millrace-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -44,7 +49,31 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for df in tables:
+        if df is not None and hasattr(df, "_settled_at"):
+            _delete(df.sparkSession, df._settled_at)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete all scratch tables that this process has written and say how many; what was computed from them can't be read again."""
+    paths = list(_written)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -185,6 +185,20 @@ def parse(files: DataFrame, run_time: str, domain: str = "Technology", purpose:
     return read.select("path", "extension", F.col("r.text").alias("content"), F.col("r.error").alias("error"), F.array(entry).alias("lifecycle"))
 
 
+def get_data(spark, source: str | list[str], run_time: str, domain: str = "Technology", purpose: str = "") -> DataFrame:
+    """What ``parse`` gives of a file, a folder or a list of both, on any store that Spark reads; empty texts are dropped.
+
+    In a list or a folder, files without a route are left out; a single file without
+    one is an error. Paths keep their full names, so files of one name don't meet.
+    """
+    alone = isinstance(source, str) and re.search(r"[^/]\.[A-Za-z0-9]+$", source) is not None
+    if alone and spark.createDataFrame([(source,)], "p string").where(route(F.col("p")).isNotNull()).isEmpty():
+        raise ValueError(f"no parser for {source}")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.*").load(source)
+    got = parse(found, run_time, domain, purpose)
+    return got.where("error is not null or trim(content) <> ''")
+
+
 def plain_entities(c: Column) -> Column:
     """The five common entities."""
     for name in ("&lt;", "&gt;", "&quot;", "&#39;", "&amp;"):

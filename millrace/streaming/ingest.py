@@ -16,6 +16,11 @@ def once_within(df: DataFrame, keys: list[str], time: str, span: str = "1 hour")
     return df.withWatermark(time, span).dropDuplicatesWithinWatermark(keys)
 
 
+def fresh(df: DataFrame, time: str, now: str, seconds: int = 3600) -> DataFrame:
+    """Rows that are not older than ``seconds`` at ``now``; those without a time are expired."""
+    return df.where(F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col(time).cast("timestamp")) <= seconds)
+
+
 def windowed_counts(df: DataFrame, time: str, by: str, span: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
     return df.withWatermark(time, late).groupBy(F.window(time, span), by).agg(F.count("*").alias("n"))
 

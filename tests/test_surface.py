@@ -104,3 +104,34 @@ def test_evaluation_by_group(spark):
     assert evaluate.image_fidelity(spark.range(1)).first().status == "not_implemented"
     pairs = spark.createDataFrame([("a b c d", "a x c d"), ("", "a"), (None, None)], "c string, r string")
     assert [round(r.y, 6) for r in pairs.select(evaluate.rouge_l("c", "r").alias("y")).collect()] == [0.75, 0.0, 0.0]
+
+
+def test_scratch_tables(spark):
+    from millrace import session
+
+    kept = session.settle(spark.range(3), "t")
+    gone = session.settle(spark.range(3), "t")
+    assert kept.count() == 3
+    session.forget(gone, None, spark.range(1))
+    assert session.clear_scratch(spark) >= 1 and session.clear_scratch(spark) == 0
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(gone._settled_at).count()
+
+
+def test_data_of_files_folders_and_lists(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name, text in (("a.txt", "one"), ("sub/a.txt", "two"), ("b.log", "no"), ("c.md", "  "), ("d.pdf", "x")):
+        (tmp_path / name).write_text(text)
+    at = "2024-01-01 00:00:00"
+    content = lambda source: sorted(r.content or "-" for r in files.get_data(spark, source, at).collect())
+    assert content(str(tmp_path)) == ["-", "one", "two"]
+    assert content([f"{tmp_path}/a.txt", f"{tmp_path}/b.log"]) == ["one"] and content(f"{tmp_path}/sub/a.txt") == ["two"]
+    with pytest.raises(ValueError):
+        files.get_data(spark, f"{tmp_path}/b.log", at)
+
+
+def test_expiry(spark):
+    from millrace.streaming import ingest
+
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, "2024-01-01 00:30:00"), (3, None)], "id int, t string")
+    assert [r.id for r in ingest.fresh(rows, "t", "2024-01-01 01:10:00").collect()] == [2]
