@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import settle
+from millrace.session import forget, settle
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
-    return settle(edges.groupBy("u").agg(F.min("v").alias("m")), "cc-smallest").withColumnRenamed("u", "w")
+    return settle(edges.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")), "cc-smallest")
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -33,13 +33,17 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         least = _smallest(both)
         large = both.where("v > u").join(least, both.u == least.w).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         roots = now.select("u").distinct().join(least, F.col("u") == least.w).where("m < u").select("u", F.col("m").alias("v"))
-        now = settle(large.unionByName(roots).where("u != v").distinct(), "cc-large")
+        old, now = (now, least), settle(large.unionByName(roots).where("u != v").distinct(), "cc-large")
+        forget(*old)
         least = _smallest(now)
         small = now.join(least, now.u == least.w)
         moved = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         kept = least.select(F.col("w").alias("u"), F.col("m").alias("v"))
-        now = settle(moved.unionByName(kept).distinct(), "cc-small")
+        old, now = (now, least), settle(moved.unionByName(kept).distinct(), "cc-small")
+        forget(*old)
     else:
         raise RuntimeError(f"the components did not settle in {most_rounds} rounds")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return settle(stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "cc-stars")
+    out = settle(stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "cc-stars")
+    forget(now)
+    return out
