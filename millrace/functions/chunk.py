@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.filters import bound
 from millrace.functions.tables import CODE_LANGUAGES
 
 
@@ -20,10 +21,22 @@ def _check(size: int, overlap: int) -> None:
 
 
 def windows(c: Column, size: int, overlap: int) -> Column:
-    """Fixed windows of ``size`` characters every ``size - overlap``; none for an empty text."""
+    """Fixed windows of ``size`` characters every ``size - overlap``; none for an empty text.
+
+    The text is cut once into pieces of the step's length, and a window is a piece
+    and the beginning of those that follow, so the time is linear in the text.
+    """
     _check(size, overlap)
-    starts = F.sequence(F.lit(0), F.greatest(F.length(c) - overlap - 1, F.lit(0)), F.lit(size - overlap))
-    cut = F.transform(starts, lambda s: F.substring(c, s + 1, F.lit(size)))
+    step = size - overlap
+
+    def of(parts: Column) -> Column:
+        n = F.greatest(F.ceil((parts["n"] - overlap) / step), F.lit(1)).cast("int")
+        more = lambda k, j: F.coalesce(F.try_element_at(parts["p"], k + 1 + j), F.lit(""))
+        rest = lambda k: F.substring(F.concat(*[more(k, j) for j in range(1, -(-overlap // step) + 1)]), 1, overlap)
+        return F.transform(F.slice(parts["p"], F.lit(1), n), (lambda x, k: F.concat(x, rest(k))) if overlap else (lambda x: x))
+
+    pieces = F.regexp_extract_all(c, F.lit(f"(?s).{{1,{step}}}+"), 0)
+    cut = bound(F.struct(F.length(c).alias("n"), pieces.alias("p")), of)
     return F.when(F.length(c) > size, cut).when(F.length(c) > 0, F.array(c)).otherwise(F.array().cast("array<string>"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.filters import gated
 from millrace.functions.han import SIMPLIFIED, TRADITIONAL
 
 #: A watermark sentence that crawled pages carry; deleted where it stands (fixed value, a parameter).
@@ -31,7 +32,7 @@ def remove_invisible_chars(c: Column) -> Column:
 
 def simplify_chinese(c: Column) -> Column:
     """Traditional to simplified characters, one to one; words are not looked at."""
-    return F.translate(c, TRADITIONAL, SIMPLIFIED)
+    return gated(c, lambda t: t.rlike(r"[\x{3400}-\x{9FFF}]"), lambda t: F.translate(t, TRADITIONAL, SIMPLIFIED))
 
 
 def point_conversion(c: Column) -> Column:
@@ -41,9 +42,13 @@ def point_conversion(c: Column) -> Column:
 
 def remove_html_tags(c: Column) -> Column:
     """Script and style elements go with their content, then every tag."""
-    c = F.regexp_replace(c, "(?is)<script[^>]*>.*?</script>", "")
-    c = F.regexp_replace(c, "(?is)<style[^>]*>.*?</style>", "")
-    return F.regexp_replace(c, "<[^>]+>", "")
+
+    def rules(t: Column) -> Column:
+        t = F.regexp_replace(t, "(?is)<script[^>]*>.*?</script>", "")
+        t = F.regexp_replace(t, "(?is)<style[^>]*>.*?</style>", "")
+        return F.regexp_replace(t, "<[^>]+>", "")
+
+    return gated(c, lambda t: t.contains("<"), rules)
 
 
 def remove_abnormal_chars(c: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,9 +12,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_written_out = ContextVar("written_out", default=False)
+
+
+@contextmanager
+def written_out():
+    """Within this, ``bound`` writes its argument out wherever it stands, as SQL text has no way to bind it."""
+    token = _written_out.set(True)
+    try:
+        yield
+    finally:
+        _written_out.reset(token)
+
+
 def bound(c: Column, of) -> Column:
     """``of(c)`` with c evaluated once a row, wherever the optimizer moves the expression."""
-    return F.element_at(F.transform(F.array(c), of), 1)
+    return of(c) if _written_out.get() else F.element_at(F.transform(F.array(c), of), 1)
+
+
+def gated(c: Column, gate, rule) -> Column:
+    """``rule(c)`` where the cheap test ``gate(c)`` says that it may change c, else c, which is evaluated once."""
+    return bound(c, lambda t: F.when(gate(t), rule(t)).otherwise(t))
 
 
 def computed(df: DataFrame, name: str, c: Column) -> DataFrame:
@@ -27,7 +48,9 @@ def bigram_peak(texts: pd.Series) -> pd.Series:
         if text is None or len(text) < 2:
             return None
         pieces = np.frombuffer(text[: len(text) // 2 * 2].encode("utf-32-le", "surrogatepass"), np.uint64)
-        return float(np.unique(pieces, return_counts=True)[1].max() / len(pieces))
+        ordered = np.sort(pieces)
+        ends = np.flatnonzero(np.append(ordered[1:] != ordered[:-1], True))
+        return float(np.diff(ends, prepend=-1).max() / len(pieces))
 
     return texts.map(peak).astype(object)
 
@@ -41,7 +64,8 @@ def char_count(c: Column, least: int = 30, most: int = 500_000) -> Column:
 
 
 def few_digits(c: Column, most: float = 0.6) -> Column:
-    return F.coalesce(F.regexp_count(c, F.lit(r"\p{Nd}")) / F.nullif(F.length(c), F.lit(0)) <= most, F.lit(False))
+    digits = F.length(F.regexp_replace(c, r"\P{Nd}++", ""))  # no list of matches is made
+    return F.coalesce(digits / F.nullif(F.length(c), F.lit(0)) <= most, F.lit(False))
 
 
 def keep(c: Column, repeats: float = 0.6, least: int = 30, most: int = 500_000, digits: float = 0.6) -> Column:
@@ -54,7 +78,8 @@ RECOGNISED = r"[\x20-\x7E\n\r\t\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7A
 
 def readable(c: Column, least: int = 50, share: float = 0.7) -> Column:
     """Long enough, and mostly of characters that a decoder meant."""
-    return F.coalesce((F.length(c) >= least) & (F.regexp_count(c, F.lit(RECOGNISED)) / F.nullif(F.length(c), F.lit(0)) >= share), F.lit(False))
+    odd = F.length(F.regexp_replace(c, RECOGNISED + "++", ""))
+    return F.coalesce((F.length(c) >= least) & ((F.length(c) - odd) / F.nullif(F.length(c), F.lit(0)) >= share), F.lit(False))
 
 
 def retryable(status: Column, body: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.filters import bound
+from millrace.functions.filters import bound, gated
 
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"\b{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}\b"
@@ -21,7 +21,7 @@ ID_CARD = r"\b[1-9][0-9]{16}[0-9Xx]\b"
 
 
 def replace_ip(c: Column, token: str = "<IP>") -> Column:
-    return F.regexp_replace(c, IP, token)
+    return gated(c, lambda t: t.rlike(r"[0-9]\.[0-9]"), lambda t: F.regexp_replace(t, IP, token))
 
 
 #: EMAIL and DASHED for long runs of one class: a match begins where a run, or what the last match left of one, does,
@@ -31,7 +31,7 @@ _DASHED_ONCE = r"(?<![0-9])[0-9]++-[0-9]++-[0-9]++"
 
 
 def replace_email(c: Column, token: str = "<EMAIL>") -> Column:
-    return F.regexp_replace(c, _EMAIL_ONCE, token)
+    return gated(c, lambda t: t.contains("@"), lambda t: F.regexp_replace(t, _EMAIL_ONCE, token))
 
 
 def replace_customer_number(c: Column, token: str = "<NUMBER>") -> Column:
@@ -71,9 +71,14 @@ def replace_id_card(c: Column, token: str = "<ID>") -> Column:
 
 
 def replace_number(c: Column) -> Column:
-    for rule in (replace_bank_id, replace_phone_number, replace_qq, replace_id_card):
-        c = rule(c)
-    return c
+    """Cards, telephone and QQ numbers and identity numbers, in this order; all have four digits in a row."""
+
+    def rules(t: Column) -> Column:
+        for rule in (replace_bank_id, replace_phone_number, replace_qq, replace_id_card):
+            t = rule(t)
+        return t
+
+    return gated(c, lambda t: t.rlike("[0-9]{4}"), rules)
 
 
 def mask_private(c: Column) -> Column:

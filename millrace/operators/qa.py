@@ -20,7 +20,9 @@ RETRIED = (408, 409, 425, 429, 500, 502, 503, 504)
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
     """One row a key, the last by ``order``; of ties the greatest by the other columns. Rows are reduced before they are shuffled."""
     others = [c for c in df.columns if c not in (key, order)]
-    last = df.groupBy(key).agg(F.max(F.struct(order, *others)).alias("__last"))
+    plain = not any(x in df.schema[c].dataType.simpleString() for c in others for x in ("map<", "variant"))  # these have no order
+    row = F.struct(order, *others)
+    last = df.groupBy(key).agg((F.max(row) if plain else F.max_by(row, order)).alias("__last"))
     return last.select(*[F.col(c) if c == key else F.col(f"__last.{c}") for c in df.columns])
 
 

@@ -30,7 +30,8 @@ RULES: dict[str, Callable[[Column], Column]] = {
 
 def expression(spark: SparkSession, rule: Callable[[Column], Column], argument: str = "x") -> tuple[str, str]:
     """(SQL text, type) of a rule on a column of that name, as the analyzer writes it."""
-    frame = spark.createDataFrame([], f"{argument} string").select(rule(F.col(argument)).alias("y"))
+    with filters.written_out():
+        frame = spark.createDataFrame([], f"{argument} string").select(rule(F.col(argument)).alias("y"))
     plan = frame._jdf.queryExecution().analyzed()
     sql = plan.expressions().head().child().sql()
     return sql.replace(f"`{argument}`", argument), frame.schema["y"].dataType.simpleString()

@@ -152,3 +152,13 @@ def test_cards_in_groups_of_4_6_5(spark):
 def test_latest_of_ties(spark):
     rows = spark.createDataFrame([("q", 1, "b"), ("q", 1, "c"), ("q", 0, "z"), ("r", None, "x")], "question string, at int, answer string")
     assert {r.question: r.answer for r in qa.latest(rows, "question", "at").collect()} == {"q": "c", "r": "x"}
+
+
+def test_windows_against_slices(spark):
+    texts = ["", "a", "é漢😀\n" * 30, "x" * 100, "y" * 101, "z" * 119, "abc def\r\n" * 50]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string")
+    for size, overlap in ((100, 0), (100, 20), (50, 49), (40, 30), (7, 3)):
+        for r in rows.select("x", chunk.windows(F.col("x"), size, overlap).alias("y")).collect():
+            n, step = len(r.x), size - overlap
+            starts = range(0, max(n - overlap, 1), step) if n > size else [0] if n else []
+            assert r.y == [r.x[s : s + size] for s in starts], (size, overlap, n)
