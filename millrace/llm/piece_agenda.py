@@ -36,10 +36,11 @@ from millrace.llm.word_batches import CLASSES, Memo, distinct_units, gather, sli
 from millrace.session import share_code
 
 SPACE = "▁"
-MEMO_PARTS = 250_000  # in each of two generations
+MEMO_PARTS = 200_000  # in each of two generations
 _NONE = np.iinfo(np.int64).max  # the score of a pair that makes no piece
 _ROW = 24  # the longest part that is merged in a row
-_TEXTS_AT_ONCE = 1 << 22  # bytes given to the library at a time
+_TEXTS_AT_ONCE = 1 << 22  # bytes of text encoded at a time
+_LIBRARY_AT_ONCE = 1 << 20  # bytes of ids of the texts given to the library at a time; it gives Python lists
 
 
 class PieceAgenda:
@@ -248,10 +249,12 @@ def agenda(model_file: str) -> PieceAgenda:
 
 def _checked(coder: PieceAgenda, texts: list[str]):
     """(ids as bytes, decoded text, agrees) of each text."""
-    want = coder.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
-    for mine, ids, decoded in zip(coder.encode_batch(texts), want, coder.library.decode(want, num_threads=1)):
-        packed = array("I", ids).tobytes()
-        yield packed, decoded, mine == packed and coder.decode(ids) == decoded
+    mine = coder.encode_batch(texts)
+    for at, to in slices([len(x) for x in mine], _LIBRARY_AT_ONCE):
+        want = coder.library.encode(texts[at:to], add_bos=True, add_eos=True, num_threads=1)
+        for k, ids, decoded in zip(range(at, to), want, coder.library.decode(want, num_threads=1)):
+            packed = array("I", ids).tobytes()
+            yield packed, decoded, mine[k] == packed and coder.decode(ids) == decoded
 
 
 def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
