@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import chunk, clean, filters, html, privacy
+from millrace.functions.han import SIMPLIFIED, TRADITIONAL
 from millrace.operators import evaluate
 from millrace.plans.catalogue import query
 from millrace.session import share_code, table
 
 #: Appended to every text so that each rule has something to do.
-_DIRT = "\r\n\n\n  x \t \u0007y\n• z<b>t</b>   " + clean.WATERMARK
-_DIRT_SQL = "(text || chr(13) || chr(10) || chr(10) || chr(10) || '  x ' || chr(9) || chr(160) || chr(7) || 'y' || chr(10) || '• z<b>t</b>   " + clean.WATERMARK + "')"
+_DIRT = "\r\n\n\n  x \t \u0007y\n• z<b>t</b> 臺灣與漢語 \u200b\u2550   " + clean.WATERMARK
+_DIRT_SQL = "(text || chr(13) || chr(10) || chr(10) || chr(10) || '  x ' || chr(9) || chr(160) || chr(7) || 'y' || chr(10) || '• z<b>t</b> 臺灣與漢語 ' || chr(8203) || chr(9552) || '   " + clean.WATERMARK + "')"
 
 
 def _dirty(spark, sf_dir):
@@ -42,12 +43,20 @@ def _tags(x):
     return f"regexp_replace(regexp_replace(regexp_replace({x}, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', '', 'g')"
 
 
+def _han(x):
+    return f"translate({x}, '{TRADITIONAL}', '{SIMPLIFIED}')"
+
+
+def _abnormal(x):
+    return rf"regexp_replace({x}, '[\x{{E000}}-\x{{F8FF}}\x{{FFFD}}\x{{FEFF}}\x{{200B}}-\x{{200F}}\x{{2500}}-\x{{257F}}]', '', 'g')"
+
+
 def _no_html(x):
-    return _newlines(_invisible(_tabs(_spaces(_newlines(x)))))
+    return _newlines(_invisible(_han(_tabs(_spaces(_newlines(x))))))
 
 
 def _full(x):
-    return f"replace({_newlines(_invisible(_tabs(_spaces(_newlines(_tags(_bullets(x)))))))}, '{clean.WATERMARK}', '')"
+    return f"replace({_newlines(_invisible(_han(_tabs(_spaces(_newlines(_tags(_bullets(x))))))))}, '{clean.WATERMARK}', '')"
 
 
 def _rule(name, function, sql):
@@ -65,6 +74,9 @@ for _name, _function, _sql in (
     ("clean_nospace", clean.clean_space, lambda x: f"replace({x}, ' ', '')"),
     ("clean_tips", clean.clean_tips, lambda x: f"replace({x}, '{clean.WATERMARK}', '')"),
     ("clean_html_tags", clean.remove_html_tags, _tags),
+    ("clean_chinese", clean.simplify_chinese, _han),
+    ("clean_abnormal", clean.remove_abnormal_chars, _abnormal),
+    ("clean_nlp", clean.nlp_clean, lambda x: f"trim({_spaces(_invisible(_abnormal(_tags(x))))}, ' ')"),
     ("clean_no_html", clean.no_html_clean, _no_html),
     ("clean_full", clean.full_clean, _full),
 ):

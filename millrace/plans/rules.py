@@ -341,3 +341,44 @@ def may_retry(spark, sf_dir):
     status = F.when(F.col("event_type") == "view", None).when(F.col("event_type") == "error", 400).otherwise(F.col("user_id") % 600)
     body = F.when(F.col("event_type") == "error", "Rate limit").otherwise("x")
     return e.select("event_id", filters.retryable(status, body).alias("again"))
+
+
+@query("run_totals", """with c as (select user_id as run_id, epoch_us(ts) / 1e6 as s, value as d, cast(user_id as bigint) as p, cast(json_extract_string(props, '$.k') as bigint) as q from events),
+g as (select count(distinct run_id) as runs, count(*) as requests, sum(d) as request_seconds, max(s + d) - min(s) as seconds, sum(p) + sum(coalesce(q, 0)) as tokens from c)
+select runs, requests, cast(tokens as bigint) as total_tokens, round(60 * requests / seconds, 6) as requests_per_minute, round(tokens / seconds, 6) as tokens_per_second from g""")
+def run_totals(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    calls = e.select(F.col("user_id").alias("run_id"), F.col("ts").alias("started"), F.col("value").alias("seconds"), F.col("user_id").alias("prompt_tokens"), F.get_json_object("props", "$.k").cast("long").alias("completion_tokens"), F.lit(1).alias("items"))
+    return metrics.run_totals(calls).select("runs", "requests", "total_tokens", F.round("requests_per_minute", 6).alias("requests_per_minute"), F.round("tokens_per_second", 6).alias("tokens_per_second"))
+
+
+@query("preview_pairs", "select conv_id, turn, text[1:80] as question from conversations where role = 'user' order by conv_id, turn limit 10")
+def preview_pairs(spark, sf_dir):
+    """The first ten questions, cut: the limit is the feature."""
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").orderBy("conv_id", "turn").limit(10)
+    return rows.select("conv_id", "turn", F.substring("text", 1, 80).alias("question"))
+
+
+@query("search_order", "select event_id, user_id, value, cast(row_number() over (order by value desc nulls last, event_id) as int) as rank from events order by value desc nulls last, event_id limit 20")
+def search_order(spark, sf_dir):
+    """The twenty most relevant results, by value, with their rank: the limit is the feature."""
+    return reports.top_by(table(spark, sf_dir, "events").withColumn("all", F.lit(1)), "all", "value", "event_id", 20).select("event_id", "user_id", "value", "rank")
+
+
+@query("concat_items", "select 'document' as kind, cast(doc_id as bigint) as id, text as content from documents union all select 'page', page_id, html from pages")
+def concat_items(spark, sf_dir):
+    """Parsed items of different kinds in one table."""
+    d = _docs(spark, sf_dir).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return d.unionByName(_pages(spark, sf_dir).select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("content")))
+
+
+_SAID = "case when role = 'user' and turn % 2 = 0 then '<image>' || text else text end"
+
+
+@query("valid_messages", f"select conv_id, count(*) >= 2 and bool_or(role = 'user') and bool_or(role = 'assistant') and sum(len(regexp_extract_all({_SAID}, '<image>'))) = 1 as valid from conversations group by conv_id")
+def valid_messages(spark, sf_dir):
+    """Conversations with an image token in every other user turn, and one image each."""
+    c = table(spark, sf_dir, "conversations")
+    said = F.when((F.col("role") == "user") & (F.col("turn") % 2 == 0), F.concat(F.lit("<image>"), "text")).otherwise(F.col("text"))
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", said.alias("content")))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    return c.groupBy("conv_id").agg(turns.alias("m")).select("conv_id", images.valid_messages(F.col("m"), F.array(F.lit("/a.png"))).alias("valid"))
