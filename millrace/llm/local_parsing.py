@@ -16,7 +16,10 @@ the share of equal bins among those that either has, in the highest section of
 which both have enough.
 
 Null and empty texts have the empty fingerprint; two empty ones are alike (1),
-an empty one and another are not (0). Equal texts have equal fingerprints.
+an empty one and another are not (0). Equal texts have equal fingerprints. Null
+ids come before all others; rows that repeat an id follow one another by a hash of
+their texts; a table of one row is followed by itself; an empty table gives an
+empty table. Very long texts are parsed one at a time; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.id_ranges import cut_points, partitions, range_of
+from millrace.llm.id_ranges import partitions, ranges_of, text_hash
 from millrace.session import share_code
 
 SECTIONS = (32, 32, 32, 96)  # bins of symbols and of levels 1, 2 and 3 up
@@ -177,20 +180,21 @@ def with_following(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     The last document of each range also goes, as an extra row, before the next
     range, and the last of all before the first: one row a partition more, found
-    by a broadcast of as many ids. Rows with one id are ordered by text.
+    by a broadcast of as many ids. Rows with one id are ordered by a hash of the
+    text, then by the text.
     """
-    cuts = cut_points(docs, id_col, partitions(docs))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ranged = rows.withColumn("range", range_of(F.col("doc_id"), cuts))
-    tops = ranged.groupBy("range").agg(F.max("doc_id").alias("top")).orderBy("range").collect()  # a row a partition
-    goes = [(x.top, tops[(k + 1) % len(tops)].range) for k, x in enumerate(tops)]
-    spark = docs.sparkSession
-    extra = spark.createDataFrame(goes, f"top {docs.schema[id_col].dataType.simpleString()}, to int")
-    placed = ranged.join(F.broadcast(extra), ranged["doc_id"].eqNullSafe(extra["top"]), "left")
+    ranges = ranges_of(docs, id_col, partitions(docs))
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("hash", text_hash(F.col("text")))
+    ranged = rows.withColumn("range", ranges.of(F.col("doc_id"), F.col("hash")))
+    tops = ranged.groupBy("range").agg(F.max(F.struct("doc_id", "hash")).alias("top")).orderBy("range").collect()  # a row a partition
+    goes = [(x.top.doc_id, x.top.hash, tops[(k + 1) % len(tops)].range) for k, x in enumerate(tops)]
+    extra = docs.sparkSession.createDataFrame(goes, f"top {kind}, top_hash long, to int")
+    placed = ranged.join(F.broadcast(extra), ranged["doc_id"].eqNullSafe(extra["top"]) & (ranged["hash"] == extra["top_hash"]), "left")
     own, other = F.struct(F.col("range").alias("range"), F.lit(False).alias("extra")), F.struct(F.col("to").alias("range"), F.lit(True).alias("extra"))
-    placed = placed.select("doc_id", "text", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, other))).alias("at"))
-    placed = placed.select("doc_id", "text", "at.range", "at.extra").repartitionById(len(cuts) + 1, F.col("range"))
-    return placed.sortWithinPartitions("range", F.col("extra").desc(), F.col("doc_id").asc_nulls_first(), "text")
+    placed = placed.select("doc_id", "text", "hash", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, other))).alias("at"))
+    placed = placed.select("doc_id", "text", "hash", "at.range", "at.extra").repartitionById(ranges.n, F.col("range"))
+    return placed.sortWithinPartitions("range", F.col("extra").desc(), F.col("doc_id").asc_nulls_first(), "hash", "text").select("doc_id", "text", "range", "extra")
 
 
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,7 +12,8 @@ keeps exactly one copy of each segment when tasks are tried again, on any store
 that Spark writes. A document may be of any length and is never cut.
 
 Null texts are encoded as empty texts; every document ends with ``end_id``. Rows
-that repeat an id follow one another; null ids come first. Other columns are not
+that repeat an id follow one another, in the order of a hash of their texts; null
+ids come first. An empty table gives no segments. Other columns are not
 read.
 """
 
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.id_ranges import cut_points, dealt, partitions
+from millrace.llm.id_ranges import dealt, partitions, ranges_of
 from millrace.llm.word_batches import Memo, distinct_units, gather, slices
 from millrace.session import scratch_path, share_code
 
@@ -261,8 +262,8 @@ def write_segments(docs: DataFrame, tokenizer_file: str, end_id: int, path: str,
     """Write the ids of all documents in ascending order of their id to ``path``."""
     share_code(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    cuts = cut_points(docs, id_col, partitions(docs))
-    rows = dealt(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", cuts)
+    ranges = ranges_of(docs, id_col, partitions(docs))
+    rows = dealt(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", ranges)
 
     def run(batches):
         coder, part = word_memo(tokenizer_file), TaskContext.get().partitionId()

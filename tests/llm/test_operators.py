@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import chroma, golay_dedup, golay_wide, language_codes, local_parsing, mixing, piece_agenda, rule_ensemble, secret_automaton, token_files, warc
+from millrace.llm import chroma, golay_dedup, golay_wide, id_ranges, language_codes, local_parsing, mixing, piece_agenda, rule_ensemble, secret_automaton, token_files, warc
 from millrace.llm import queries as llm
 
 SF = "/root/testdata/sf0.001"
@@ -97,6 +97,27 @@ def test_string_ids(spark):
         assert got == [tuple(r[c] for c in columns) for r in run(docs).orderBy("doc_id").collect()]
 
 
+def test_ranges_of_one_id(spark):
+    """An id, or null, that has most rows is dealt over several ranges, and the order by id and hash goes through all of them."""
+    for hot in (7, None):
+        rows = [(hot, f"text {k}") for k in range(600)] + [(k, "t") for k in range(100)] + [(hot, "same")] * 3
+        for kind, of in (("long", lambda x: x), ("string", lambda x: None if x is None else f"{x:05}")):
+            docs = spark.createDataFrame([(of(i), t) for i, t in rows], f"doc_id {kind}, text string")
+            ranges = id_ranges.ranges_of(docs, "doc_id", 8)
+            got = id_ranges.dealt(docs, "doc_id", "text", ranges).withColumn("part", F.spark_partition_id()).collect()
+            sizes = Counter(r.part for r in got)
+            assert len(got) == len(rows) and max(sizes.values()) < 250 and len(sizes) <= ranges.n
+            ordered = sorted(got, key=lambda r: (r["__range"], r.doc_id is not None, r.doc_id or of(0), r["__hash"], r.text))
+            assert [(r.doc_id, r["__hash"]) for r in ordered] == sorted(((r.doc_id, r["__hash"]) for r in got), key=lambda x: (x[0] is not None, x[0] or of(0), x[1]))
+            files = token_files.token_files(docs, BYTES).orderBy("start").collect()
+            assert [r.doc_id for r in files] == [r.doc_id for r in ordered] and files[-1].start + files[-1].n_tokens == sum(r.n_tokens for r in files)
+            edited = local_parsing.compare_with_edits(docs)
+            texts, want = [r.text for r in ordered], Counter()
+            for k, text in enumerate(texts):
+                want[hashlib.sha256(local_parsing.edited(text, texts[k - 1]).encode()).hexdigest()] += 1
+            assert Counter(r.edited_sha256 for r in edited.collect()) == want
+
+
 def test_one_id_repeated_in_training(spark):
     rows = [(7, f"some words of a text {k % 3}", ("en", "de", "fr")[k % 3]) for k in range(12_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
