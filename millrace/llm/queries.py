@@ -124,5 +124,44 @@ from c
 """
 
 
+#: Kind, expression, group whose length counts, least length.
+_SECRETS = (
+    ("assign", r"""(?i:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+    ("github", "gh[pousr]_[A-Za-z0-9]+", 0, 24),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]+", 0, 20),
+    ("pem", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 5),
+)
+
+
+def _op6() -> str:
+    """Each match is put between marks, with the group that counts; places follow from the lengths of what stands before."""
+
+    def marked(pattern: str, group: int) -> str:
+        return "regexp_replace(t, '" + pattern.replace("'", "''") + f"', chr(1) || '\\0' || chr(3) || '\\{group}' || chr(2), 'g')"
+
+    kinds = ", ".join(f"'{k}'" for k, *_ in _SECRETS)
+    least = ", ".join(str(n) for *_, n in _SECRETS)
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+m as (select doc_id, unnest(range(1, {len(_SECRETS) + 1})) as k, unnest([{", ".join(marked(p, g) for _, p, g, _ in _SECRETS)}]) as s from d),
+p as (select doc_id, k, string_split(s, chr(1)) as parts from m where contains(s, chr(1))),
+l as (select *, list_transform(parts[2:], lambda x: len(split_part(x, chr(3), 1)) + len(split_part(x, chr(2), 2))) as sizes, unnest(range(2, len(parts) + 1)) as i from p),
+f as (
+  select doc_id, k, len(parts[1]) + coalesce(list_sum(sizes[1:i - 2]), 0) as a, len(split_part(parts[i], chr(3), 1)) as n,
+    len(split_part(split_part(parts[i], chr(3), 2), chr(2), 1)) as g from l
+),
+h as (select doc_id, k, cast(a as bigint) as a, ([{kinds}])[k] || ':' || cast(a as bigint) || ':' || cast(a + n as bigint) as span from f where g >= ([{least}])[k]),
+r as (
+  select doc_id, count(*) filter (where k = 1) as n_assign, count(*) filter (where k = 2) as n_access, count(*) filter (where k = 3) as n_hex,
+    string_agg(span, ',' order by a, k) filter (where k <= 3) as base, string_agg(span, ',' order by a, k) as spans, count(*) as n from h group by doc_id
+)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256,
+  coalesce(spans, '') as spans, coalesce(n, 0) as n_secrets
+from d left join r on d.doc_id = r.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_captures": _OP5, "op9_hash_mix": _OP9.replace("round(target, 3) as target", "target")}
+    return {"op6_secret_automaton": _op6(), "op5_warc_captures": _OP5, "op9_hash_mix": _OP9.replace("round(target, 3) as target", "target")}

@@ -409,6 +409,20 @@ def test_chroma_alignment_against_all_pairs(spark):
     assert want[4][1] == 3 and want[13][1] == want[14][1] == 12 and sum(x is not None for x in want.values()) > 15
 
 
+@pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    db = duckdb.connect()
+    for table in ("documents", "pages"):
+        db.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    got, want = llm.queries()[name](spark, SF).toPandas(), db.sql(llm.oracle_sql()[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    rows = lambda f: sorted(map(repr, f[columns].astype(object).where(f[columns].notna(), None).itertuples(index=False, name=None)))
+    assert rows(got) == rows(want)
+
+
 def test_chroma_filters_against_plain_sums():
     """Integers from the integral image equal those from sums over each rectangle."""
     rng = np.random.default_rng(11)
