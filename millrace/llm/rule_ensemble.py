@@ -35,10 +35,10 @@ def statistics(text: Column) -> Column:
     """A struct of shares and means of a text; 0 where there is nothing to count. The text is split once."""
 
     def of(cut: Column) -> Column:
-        text, words, lines = cut["text"], cut["words"], cut["lines"]
+        text, marks, words, lines = cut["text"], cut["marks"], cut["words"], cut["lines"]
         chars = F.length(text).cast("double")
         # What is left without all others is counted; no list of matches is made.
-        share = lambda kept: F.when(chars > 0, F.length(F.regexp_replace(text, f"[^{kept}]++", "")) / chars).otherwise(0.0)
+        share = lambda kept: F.when(chars > 0, F.length(F.regexp_replace(marks, f"[^{kept}]++", "")) / chars).otherwise(0.0)
         distinct = lambda a: F.size(F.array_distinct(a)) / F.size(a)
         return F.struct(
             F.log1p(chars).alias("log_chars"),
@@ -57,7 +57,8 @@ def statistics(text: Column) -> Column:
         )
 
     text = F.coalesce(text, F.lit(""))
-    cut = F.struct(text.alias("text"), F.split(text, r"[\x20\x09-\x0D]+").alias("words"), F.split(text, "\n").alias("lines"))
+    marks = F.regexp_replace(text, r"[\p{Ll} ]++", "")  # small letters and spaces, most of a text, are in none of the classes
+    cut = F.struct(text.alias("text"), marks.alias("marks"), F.split(text, r"[\x20\x09-\x0D]+").alias("words"), F.split(text, "\n").alias("lines"))
     return F.element_at(F.transform(F.array(cut), of), 1)
 
 
