@@ -96,3 +96,19 @@ def places(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
     before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     return ranged.withColumn("__own", own).join(before, "__part").withColumn(name, (F.col("__own") + F.col("__before")).cast("int")).select(*df.columns, name)
+
+
+def previous(df: DataFrame, by: str, order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with ``value`` of the row before in the same group, null for the first.
+
+    Rows are dealt by ranges of group and order, so a group of any size is spread over
+    many tasks; where it goes on in the next range, that range's first row takes the
+    last row of the range before, one row a range.
+    """
+    ranged = settle(df.repartitionByRange(by, *order).withColumn("__part", F.spark_partition_id()), "previous")
+    lasts = ranged.groupBy("__part").agg(F.max(F.struct(by, *order, F.col(value).alias("__value"))).alias("__last"))
+    before = lasts.select("__part", F.lag("__last").over(Window.orderBy("__part")).alias("__before"))  # a row a range
+    own = Window.partitionBy("__part", by).orderBy(*order)
+    rows = ranged.withColumn("__own", F.lag(F.struct(F.col(value).alias("v"))).over(own)).join(before, "__part")
+    carried = F.when(F.col("__before")[by].eqNullSafe(F.col(by)), F.col("__before.__value"))
+    return rows.withColumn(name, F.when(F.col("__own").isNotNull(), F.col("__own.v")).otherwise(carried)).select(*df.columns, name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators import metrics, qa, tree
+from millrace.operators import metrics, qa, reports, tree
 from millrace.plans.catalogue import query
 from millrace.session import table
 from millrace.sources import files
@@ -104,10 +104,9 @@ def pass_rate(spark, sf_dir):
 
 @query("request_gaps", "select event_id, coalesce(cast(floor(epoch(ts)) - floor(epoch(lag(ts) over (partition by user_id order by ts, event_id))) as bigint), -1) as gap_s from events")
 def request_gaps(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    seconds = lambda c: F.unix_seconds(c.cast("timestamp"))
-    gap = seconds(F.col("ts")) - seconds(F.lag("ts").over(w))
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(gap, F.lit(-1)).alias("gap_s"))
+    seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    rows = reports.previous(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", ["ts", "event_id"], "ts", "before")
+    return rows.select("event_id", F.coalesce(seconds("ts") - seconds("before"), F.lit(-1)).alias("gap_s"))
 
 
 @query("route_formats", "select page_id, lower(regexp_extract(url || '.PDF', '\\.([A-Za-z0-9]+)$', 1)) as extension, 'pdf' as kind from pages")

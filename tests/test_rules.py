@@ -108,3 +108,13 @@ def test_reports_of_nothing(spark):
     assert (got.total_crawls, got.avg_duration, got.success_rate) == (0, 0.0, 0.0)
     assert reports.batch_summary(none, 0.0).first().files_per_second == 0.0
     assert reports.places(none, ["kind"]).count() == 0
+
+
+def test_rows_before_in_a_group_of_most_rows(spark):
+    rows = [("hot", k, k * 10) for k in range(500)] + [(None, k, k) for k in range(50)] + [(f"g{k % 7}", k, k) for k in range(60)]
+    frame = spark.createDataFrame(rows, "g string, k int, v int").repartition(5)
+    got = {(r.g, r.k): r.before for r in reports.previous(frame, "g", ["k"], "v", "before").collect()}
+    for g in {r[0] for r in rows}:
+        mine = sorted((k, v) for h, k, v in rows if h == g)
+        assert [got[g, k] for k, _ in mine] == [None, *[v for _, v in mine[:-1]]]
+    assert reports.previous(frame.limit(0), "g", ["k"], "v", "before").count() == 0
