@@ -41,6 +41,11 @@ class Ranges:
     def n(self) -> int:
         return self.nulls + sum(self.shares)
 
+    @property
+    def hot(self) -> bool:
+        """Whether some id, or null, is dealt over several ranges; only then are hashes of texts needed."""
+        return self.nulls > 1 or any(x > 1 for x in self.shares)
+
     def of(self, ids: Column, hashes: Column) -> Column:
         """The number of a row's range, by a balanced tree of comparisons."""
         ends = [self.nulls - 1]

@@ -180,14 +180,16 @@ def with_following(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     The last document of each range also goes, as an extra row, before the next
     range, and the last of all before the first: one row a partition more, found
-    by a broadcast of as many ids. Rows with one id are ordered by a hash of the
-    text, then by the text.
+    by a broadcast of as many ids. Rows with one id are ordered by the text; where an
+    id is dealt over several ranges, by a hash of the text first.
     """
     ranges = ranges_of(docs, id_col, partitions(docs))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("hash", text_hash(F.col("text")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("hash", text_hash(F.col("text")) if ranges.hot else F.lit(0).cast("long"))  # without it, only ids are read for the tops
     ranged = rows.withColumn("range", ranges.of(F.col("doc_id"), F.col("hash")))
-    tops = ranged.groupBy("range").agg(F.max(F.struct("doc_id", "hash")).alias("top")).orderBy("range").collect()  # a row a partition
+    top = F.max(F.struct("doc_id", "hash")) if ranges.hot else F.struct(F.max("doc_id").alias("doc_id"), F.lit(0).cast("long").alias("hash"))
+    tops = ranged.groupBy("range").agg(top.alias("top")).orderBy("range").collect()  # a row a partition
     goes = [(x.top.doc_id, x.top.hash, tops[(k + 1) % len(tops)].range) for k, x in enumerate(tops)]
     extra = docs.sparkSession.createDataFrame(goes, f"top {kind}, top_hash long, to int")
     placed = ranged.join(F.broadcast(extra), ranged["doc_id"].eqNullSafe(extra["top"]) & (ranged["hash"] == extra["top_hash"]), "left")
