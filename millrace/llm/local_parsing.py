@@ -37,7 +37,7 @@ from millrace.session import share_code
 SECTIONS = (32, 32, 32, 96)  # bins of symbols and of levels 1, 2 and 3 up
 ENOUGH = 16
 MAX_LEVELS = 40
-_SYMBOLS_AT_ONCE = 1 << 20
+_SYMBOLS_AT_ONCE = 1 << 16
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -124,19 +124,24 @@ def _sketch(texts: list[str]) -> np.ndarray:
     least = np.full((len(texts), sum(SECTIONS)), 0xFFFFFFFF, np.uint32)
     there = np.zeros(least.shape, bool)
     begin = np.cumsum([0, *SECTIONS])
+    ids = np.arange(len(texts))  # of the texts that go on: one that is a single name is done
     for level in range(MAX_LEVELS + 1):
         if level:
             names, first = _parse(names, first)
         section = min(level, len(SECTIONS) - 1)
         again = _places_in_runs(names, first)
-        owner = np.repeat(np.arange(len(texts)), np.diff(np.append(first, len(names))))
+        count = np.diff(np.append(first, len(names)))
         h = _mix(names ^ np.uint64(section + 1) ^ (again * _K2))
         bins = begin[section] + ((h >> np.uint64(40)) % np.uint64(SECTIONS[section])).astype(np.int64)
-        flat = owner * least.shape[1] + bins
+        flat = np.repeat(ids, count) * least.shape[1] + bins
         np.minimum.at(least.reshape(-1), flat, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         there.reshape(-1)[flat] = True
-        if level and len(names) == len(texts):
+        more = count > 1
+        if not more.any():
             break
+        if not more.all():
+            names, ids, count = names[np.repeat(more, count)], ids[more], count[more]
+            first = np.cumsum(count) - count
     value = _mix(least.astype(np.uint64)) % np.uint64(255) + np.uint64(1)
     return np.where(there, value, 0).astype(np.uint8)
 

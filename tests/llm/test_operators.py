@@ -551,6 +551,17 @@ def test_parsing_against_plain_python(monkeypatch):
         assert abs(got - exact) < 0.2, (cut, got, exact)
 
 
+def test_sketches_of_texts_alone_and_together(monkeypatch):
+    """A fingerprint depends on its text only, not on what is parsed with it."""
+    rng = random.Random(13)
+    texts = ["".join(rng.choices("ab cd\n", k=n)) for n in (1, 2, 3, 10, 100, 1000, 40_000, 7, 5000, 1)] + ["", "aaaaaaaa", "é"]
+    together = local_parsing.sketches(texts)
+    assert (together == np.concatenate([local_parsing.sketches([x]) for x in texts])).all()
+    for size in (1, 64, 1 << 20):
+        monkeypatch.setattr(local_parsing, "_SYMBOLS_AT_ONCE", size)
+        assert (together == local_parsing.sketches(texts)).all()
+
+
 def test_archives_of_many_members():
     """Records come out of an archive in pieces of any size, of one or many gzip members, also longer than a piece."""
     import gzip
