@@ -165,14 +165,14 @@ def _kept_sql(source):
 
 
 #: A fifth of the texts are mostly digits, and a fifth mostly one pair of characters, so that each rule rejects some.
-_NOISY_SQL = "select doc_id, case doc_id % 5 when 0 then repeat('1234567890', 2 * len(text)) || text when 1 then repeat('ab', 2 * len(text)) || text else text end as text from documents"
+_NOISY_SQL = "select doc_id, case doc_id % 5 when 0 then repeat('1234567890', len(text) // 4) || text when 1 then repeat('ab', len(text)) || text else text end as text from documents"
 
 
 @query("filter_all", f"select doc_id, cast(len(text) as int) as n_chars from ({_kept_sql(_NOISY_SQL)})")
 def filter_all(spark, sf_dir):
     share_code(spark)
-    fill = lambda x: F.concat(F.repeat(F.lit(x), 2 * F.length("text")), "text")
-    noisy = F.when(F.col("doc_id") % 5 == 0, fill("1234567890")).when(F.col("doc_id") % 5 == 1, fill("ab")).otherwise(F.col("text"))
+    fill = lambda x, n: F.concat(F.repeat(F.lit(x), n), "text")
+    noisy = F.when(F.col("doc_id") % 5 == 0, fill("1234567890", F.expr("cast(length(text) div 4 as int)"))).when(F.col("doc_id") % 5 == 1, fill("ab", F.length("text"))).otherwise(F.col("text"))
     docs = filters.computed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", noisy)
     return docs.where(filters.keep(F.col("text"))).select("doc_id", F.length("text").alias("n_chars"))
 
