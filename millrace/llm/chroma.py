@@ -6,23 +6,27 @@ image over frames and pitch classes, are quantised to two bits each and packed
 into one 32-bit integer a frame.
 
 Recordings with equal fingerprints are one class, so copies cost nothing more.
-Between classes, pairs of neighbouring integers picked by winnowing are keys. A
-class is aligned with the earlier class (of smaller id) that shares most keys with
-it at one offset, among all earlier ones that pass: at least ``MIN_VOTES`` keys at
-the pair's best offset, and few differing bits over the whole overlap there. Of
-equals, the smallest id is taken.
-
-Two steps find that class without all pairs of a common key's holders. Where all
-keys that a class shares with earlier ones have the same first holder at the same
-offset and it passes, nobody has more votes (copies: links grow with the number of
-keys). Every other class votes for all earlier holders of all its keys; the votes
-grow with the square of the number of different recordings around a common passage.
-Its pairs with enough votes are verified in the order of their votes until one
-passes, most often the first, so recordings are only joined with few others.
+Between classes, pairs of neighbouring integers picked by winnowing are keys. Two
+classes are linked where, at one offset, they share at least ``MIN_VOTES`` keys and
+few bits differ over the whole overlap; of several such offsets the one of most
+votes is the pair's. Every row has the number of classes that its class is linked
+with, and the best link to an earlier class (of smaller id): most votes, of equals
+the smallest id.
+
+All pairs that share enough keys are verified, each once: the keys of a class are
+ordered from the rarest on, and a pair belongs to the first key that both have. The
+holders of a key come together with all their shared keys, form their pairs in numpy,
+and leave the task as one row each, with a count and the best, so no table has a row
+a pair. The work still grows with the square of the number of different recordings
+around a common passage, as do the links themselves. A key with more than ``BLOCK``
+holders is dealt over tasks by pairs of blocks. Integers are only read where a first
+pass has found enough common keys.
 
 Null and empty media have no integers and no alignment; media shorter than one
 window are padded with silence to one. Repeated ids are rows of their own class
-member list. Other columns are not read.
+member list; two recordings of one id can be linked, but not aligned to their own id.
+A recording that only rows without an id have is a class too, after all others, and
+nothing is aligned to it. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.session import settle, share_code
@@ -43,7 +47,9 @@ WINNOW = 8
 MAX_BIT_ERROR = 0.2
 MIN_VOTES = 2
 MIN_OVERLAP = 8
+BLOCK = 1024
 _FRAMES_AT_ONCE = 1 << 14
+_PAIRS_AT_ONCE = 1 << 20
 #: (kind, first pitch class, classes, frames): eight bands by rule, each under two kinds of filter.
 FILTERS = [(kind, 3 * k // 2 % 12, 3 + k % 3, SPAN >> (k % 3)) for k in range(8) for kind in ("time", "pitch")]
 _QUANTA = (-0.12, 0.0, 0.12)
@@ -137,6 +143,8 @@ def _picked(ints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keys(classes: DataFrame) -> DataFrame:
+    """(node, key, place) of all picked keys of the classes."""
+
     def run(batches):
         for batch in batches:
             owner, keys, places = [], [], []
@@ -146,9 +154,9 @@ def _keys(classes: DataFrame) -> DataFrame:
                 keys.append(key)
                 places.append(at)
             take = pa.array(np.concatenate(owner))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(places).astype(np.int32))], ["class_id", "key", "place"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(places).astype(np.int32))], ["node", "key", "place"])
 
-    return classes.select("class_id", "ints").mapInArrow(run, f"class_id {classes.schema['class_id'].dataType.simpleString()}, key long, place int")
+    return classes.select("node", "ints").mapInArrow(run, "node long, key long, place int")
 
 
 def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
@@ -160,64 +168,180 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
     return float(np.bitwise_count(a[s : s + n] ^ b[t : t + n]).sum()) / (32 * n), n
 
 
-def _verified(pairs: DataFrame, bodies: DataFrame, name: str) -> DataFrame:
-    """The rows of ``pairs`` (class_id, to, offset, votes) that pass, with their bit error."""
+# --- pairs of classes -------------------------------------------------------
+
+_GROUP = ["key", "lo", "hi"]
+
+
+def _holders(shared: DataFrame, bodies: DataFrame, block: int) -> DataFrame:
+    """A row for each key of a class that can be the first one of a pair, and for each pair of the key's blocks that the class is in."""
+    lists = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key", "place"))).alias("s")).where(F.size("s") >= MIN_VOTES)
+    lists = lists.join(bodies.select("node", "class_id"), "node")
+    # A pair has MIN_VOTES keys or more, so the first of them is never among a class's last ones.
+    firsts = lists.select("node", "class_id", F.col("s.key").alias("keys"), F.col("s.place").alias("places"), F.posexplode(F.slice("s", 1, F.size("s") - (MIN_VOTES - 1))).alias("pos", "own"))
+    blocks = F.ceil(F.col("own.n") / block).cast("int")
+    firsts = firsts.select("node", "class_id", "keys", "places", "pos", F.col("own.key").alias("key"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("mine"))
+    firsts = firsts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return firsts.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "class_id", "pos", "keys", "places")
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, F.col("class_id").asc_nulls_last(), "node")
+
+
+def _whole_groups(batches):
+    """Tables of whole groups, each with the ordinals of its rows' groups."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = pa.Table.from_batches([batch])
+        held = new if held is None else pa.concat_tables([held, new]).combine_chunks()
+        group = _ordinals(held)
+        last = int(np.searchsorted(group, group[-1]))
+        if last:
+            yield held.slice(0, last).combine_chunks(), group[:last]
+            held = held.slice(last)
+    if held is not None:
+        held = held.combine_chunks()
+        yield held, _ordinals(held)
+
+
+def _ordinals(rows: pa.Table) -> np.ndarray:
+    by = np.stack([rows[c].to_numpy() for c in _GROUP])
+    return np.concatenate([[0], (by[:, 1:] != by[:, :-1]).any(axis=0).cumsum()])
+
+
+def _starts(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    new = np.ones(len(sorted_by[0]), bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in sorted_by])
+    return np.flatnonzero(new)
+
+
+def _candidates(rows: pa.Table, group: np.ndarray):
+    """(later, earlier, offset, votes) of the pairs of rows that belong to their group, a part at a time; a pair is in one part."""
+    lists = rows["keys"].combine_chunks(), rows["places"].combine_chunks()
+    lens = lists[0].value_lengths().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lens)), lens)
+    key, place = (x.flatten().to_numpy() for x in lists)
+    before = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens) < rows["pos"].to_numpy()[row]
+    order = np.lexsort((row, key, group[row]))
+    row, key, place, before = row[order], key[order], place[order].astype(np.int64), before[order]
+    starts = _starts(key, group[row])
+    sizes = np.diff(np.append(starts, len(row)))
+    after = np.repeat(starts + sizes, sizes) - np.arange(len(row)) - 1  # holders of the same key that follow
+    lefts = np.flatnonzero(after)
+    lefts = lefts[np.argsort(row[lefts], kind="stable")]
+    mine, lo, hi = (rows[c].to_numpy() for c in ("mine", "lo", "hi"))
+    ends = np.append(_starts(row[lefts])[1:], len(lefts)) if len(lefts) else lefts  # a row's keys stay together
+    work = np.append(0, np.cumsum(after[lefts]))
+    at = 0
+    while at < len(lefts):
+        to = int(ends[max(np.searchsorted(work[ends], work[at] + _PAIRS_AT_ONCE, "right") - 1, np.searchsorted(ends, at, "right"))])
+        part, at = lefts[at:to], to
+        n = after[part]
+        one = np.repeat(part, n)
+        other = one + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        # A pair of one block belongs to the group of that block alone.
+        here = (lo[row[one]] == hi[row[one]]) | (mine[row[one]] != mine[row[other]])
+        one, other = one[here], other[here]
+        if not len(one):
+            continue
+        pair, offset = row[one] * len(lens) + row[other], place[other] - place[one]
+        order = np.lexsort((offset, pair))
+        pair, offset, early = pair[order], offset[order], before[one][order]
+        runs = _starts(pair, offset)
+        votes = np.diff(np.append(runs, len(pair)))
+        pairs = _starts(pair)
+        elsewhere = np.repeat(np.logical_or.reduceat(early, pairs), np.diff(np.append(pairs, len(pair))))
+        runs, votes = runs[(votes >= MIN_VOTES) & ~elsewhere[runs]], votes[(votes >= MIN_VOTES) & ~elsewhere[runs]]
+        if len(runs):
+            yield pair[runs] % len(lens), pair[runs] // len(lens), offset[runs], votes
+
+
+def _with_candidates(batches):
+    """The rows that have a candidate in their group."""
+    for rows, group in _whole_groups(batches):
+        found = np.zeros(len(group), bool)
+        for later, earlier, _, _ in _candidates(rows, group):
+            found[later] = found[earlier] = True
+        yield from rows.filter(pa.array(found)).to_batches(max_chunksize=1024)
+
+
+def bit_errors(flat: np.ndarray, start: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``bit_error`` of many pairs of the bodies that ``flat`` holds."""
+    s, t = np.maximum(0, offset), np.maximum(0, -offset)
+    n = np.minimum(size[a] - s, size[b] - t)
+    s, t, differing = s + start[a], t + start[b], np.empty(len(n), np.int64)
+    done = np.append(0, np.cumsum(n))  # the overlaps hold the common keys, so none is empty
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(done, done[at] + _PAIRS_AT_ONCE, "right")) - 1)
+        step = np.arange(done[to] - done[at]) - np.repeat(done[at:to] - done[at], n[at:to])
+        bits = np.bitwise_count(flat[np.repeat(s[at:to], n[at:to]) + step] ^ flat[np.repeat(t[at:to], n[at:to]) + step])
+        differing[at:to] = np.add.reduceat(bits, done[at:to] - done[at], dtype=np.int64)
+        at = to
+    return differing / (32 * n), n
+
+
+def _linked(batches):
+    """(node, links, to, offset, votes, error): how many links a row has in its group, and the best to an earlier one."""
+    for rows, group in _whole_groups(batches):
+        bodies = rows["ints"].to_pylist()
+        flat, size = np.frombuffer(b"".join(bodies), "<u4"), np.array([len(x) // 4 for x in bodies])
+        start = np.cumsum(size) - size
+        name = rows["class_id"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        n = len(group)
+        links, to, at, most, error = (np.zeros(n, np.int64), np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n))
+        for later, earlier, offset, votes in _candidates(rows, group):
+            wrong, overlap = bit_errors(flat, start, size, later, earlier, offset)
+            good = np.flatnonzero((wrong <= MAX_BIT_ERROR) & (overlap >= MIN_OVERLAP))
+            # A pair's best offset, then a row's best pair.
+            good = good[np.lexsort((offset[good], np.abs(offset[good]), -votes[good], earlier[good], later[good]))]
+            if not len(good):
+                continue
+            good = good[_starts(later[good], earlier[good])]
+            links += np.bincount(later[good], minlength=n) + np.bincount(earlier[good], minlength=n)
+            good = good[name[later[good]] != name[earlier[good]]]
+            good = good[np.lexsort((earlier[good], -votes[good], later[good]))]
+            if not len(good):
+                continue
+            good = good[_starts(later[good])]
+            good = good[votes[good] > most[later[good]]]  # of equals, earlier parts have the smaller ids
+            x = later[good]
+            to[x], at[x], most[x], error[x] = earlier[good], offset[good], votes[good], wrong[good]
+        some, none = np.flatnonzero(links), to[links > 0] < 0
+        best = rows["class_id"].combine_chunks().take(pa.array(to[some], mask=none))
+        rest = [pa.array(x[some].astype(kind), mask=none) for x, kind in ((at, np.int32), (most, np.int64), (error, np.float64))]
+        yield pa.RecordBatch.from_arrays([rows["node"].combine_chunks().take(pa.array(some)), pa.array(links[some]), best, *rest], ["node", "links", "to", "offset", "votes", "error"])
+
+
+def linked(bodies: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(digest, n_links, b) of the classes of ``bodies`` (node, digest, class_id, ints) that have links."""
     kind = bodies.schema["class_id"].dataType.simpleString()
-    mine = bodies.select(F.col("class_id").alias("c1"), F.col("ints").alias("a"))
-    theirs = bodies.select(F.col("class_id").alias("c2"), F.col("ints").alias("b"))
-
-    def run(batches):
-        for batch in batches:
-            got = [bit_error(np.frombuffer(a.as_py(), "<u4"), np.frombuffer(b.as_py(), "<u4"), o.as_py()) for a, b, o in zip(batch.column(4), batch.column(5), batch.column(2))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.int64())], ["class_id", "to", "offset", "votes", "error", "overlap"])
-
-    both = pairs.join(mine, F.col("class_id") == F.col("c1")).join(theirs, F.col("to") == F.col("c2")).select("class_id", "to", "offset", "votes", "a", "b")
-    out = both.mapInArrow(run, f"class_id {kind}, to {kind}, offset int, votes long, error double, overlap long")
-    return settle(out.where((F.col("error") <= MAX_BIT_ERROR) & (F.col("overlap") >= MIN_OVERLAP)).drop("overlap"), name)
-
-
-def _first_that_pass(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The pair of most votes (of equals, of smallest id) of each class that passes; others are verified only where those before them fail."""
-    left = settle(pairs.withColumn("rank", F.row_number().over(Window.partitionBy("class_id").orderBy(F.col("votes").desc(), "to"))), "chroma-ranked")
-    out, high = None, 1
-    while True:
-        passed = _verified(left.where(F.col("rank") <= high).drop("rank"), bodies, "chroma-passed")
-        best = passed.groupBy("class_id").agg(F.min_by(F.struct("to", "offset", "votes", "error"), F.struct(-F.col("votes"), "to")).alias("b")).select("class_id", "b.*")
-        best = settle(best, "chroma-best")
-        out = best if out is None else out.unionByName(best)
-        # Those further down, of classes that have none yet.
-        left = settle(left.where(F.col("rank") > high).join(best.select(F.col("class_id").alias("done")), F.col("class_id") == F.col("done"), "left_anti"), "chroma-left")
-        if left.isEmpty():
-            return out
-        high *= 8
-
-
-def align(recordings: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """(rec_id, n_ints, fingerprint_sha256, class_id, aligned_to, offset, votes, bit_error) of every row."""
-    prints = settle(fingerprints(recordings, id_col, media_col), "chroma-prints")
-    firsts = settle(prints.groupBy("digest").agg(F.min("rec_id").alias("class_id")), "chroma-classes")
-    named = prints.join(firsts, "digest")
-    # One row a class: equal fingerprints of one id are one row too.
-    bodies = settle(named.where("n_ints > 0 and rec_id = class_id").dropDuplicates(["digest"]).select("class_id", "ints"), "chroma-bodies")
     keys = settle(_keys(bodies), "chroma-keys")
-    first = keys.groupBy("key").agg(F.min(F.struct("class_id", "place")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    first = settle(first.select(F.col("key").alias("k"), F.col("f.class_id").alias("first"), F.col("f.place").alias("at")), "chroma-first")
-    shared = settle(keys.join(first, F.col("key") == F.col("k")).select("class_id", "key", "place", "first", "at"), "chroma-shared")
-    later = shared.where(F.col("class_id") != F.col("first"))
-    # Only a class with MIN_VOTES keys that earlier classes hold can be aligned.
-    total = settle(later.groupBy("class_id").agg(F.count("*").alias("most")).where(F.col("most") >= MIN_VOTES), "chroma-total")
-    stars = later.groupBy("class_id", F.col("first").alias("to"), (F.col("place") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes"))
-    stars = stars.join(total.withColumnRenamed("class_id", "c"), (F.col("class_id") == F.col("c")) & (F.col("votes") == F.col("most"))).select("class_id", "to", "offset", "votes")
-    copies = _verified(stars, bodies, "chroma-copies")
-    rest = total.select(F.col("class_id").alias("c")).join(copies.select(F.col("class_id").alias("done")), F.col("c") == F.col("done"), "left_anti")
-    voters = later.join(rest, F.col("class_id") == F.col("c")).select("class_id", "key", "place")
-    holders = shared.select(F.col("class_id").alias("to"), F.col("key").alias("k"), F.col("place").alias("at"))
-    votes = voters.join(holders, (F.col("key") == F.col("k")) & (F.col("class_id") > F.col("to")))
-    votes = votes.groupBy("class_id", "to", (F.col("place") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= MIN_VOTES)
-    pairs = votes.groupBy("class_id", "to").agg(F.max_by(F.struct("offset", "votes"), F.struct("votes", -F.abs("offset"), -F.col("offset"))).alias("b"))
-    others = _first_that_pass(pairs.select("class_id", "to", "b.offset", "b.votes"), bodies)
-    best = copies.unionByName(others).groupBy("class_id").agg(F.min_by(F.struct("to", "offset", "votes", "error"), F.struct(-F.col("votes"), "to")).alias("b"))
-    best = best.select(F.col("class_id").alias("c"), F.col("b.to").alias("aligned_to"), "b.offset", "b.votes", F.col("b.error").alias("bit_error"))
-    rows = settle(prints.select("rec_id", "n_ints", "digest"), "chroma-rows").join(firsts, "digest")
-    rows = rows.withColumn("class_id", F.when(F.col("n_ints") > 0, F.col("class_id")).otherwise(F.col("rec_id")))
-    return rows.join(best, F.col("class_id") == F.col("c"), "left").select("rec_id", "n_ints", F.col("digest").alias("fingerprint_sha256"), "class_id", "aligned_to", "offset", "votes", "bit_error")
+    several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    holders = settle(_holders(keys.join(several, "key"), bodies, block), "chroma-holders")
+    layout = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in holders.schema)
+    found = settle(_grouped(holders).mapInArrow(_with_candidates, layout), "chroma-candidates")
+    pairs = _grouped(found.join(bodies.select("node", "ints"), "node").select(*holders.columns, "ints"))
+    parts = settle(pairs.mapInArrow(_linked, f"node long, links long, to {kind}, offset int, votes long, error double"), "chroma-links")
+    order = F.when(F.col("votes").isNotNull(), F.struct(-F.col("votes"), "to"))
+    best = parts.groupBy("node").agg(F.sum("links").alias("n_links"), F.min_by(F.struct("to", "offset", "votes", "error"), order).alias("b"))
+    return best.join(bodies.select("node", "digest"), "node").select("digest", "n_links", "b")
+
+
+def align(recordings: DataFrame, id_col: str, media_col: str, block: int = BLOCK) -> DataFrame:
+    """(rec_id, n_ints, fingerprint_sha256, class_id, aligned_to, offset, votes, bit_error, n_links) of every row."""
+    prints = settle(fingerprints(recordings, id_col, media_col), "chroma-prints")
+    # One row a class: equal fingerprints of one id are one row too. Written once, so a node keeps its number.
+    bodies = prints.where("n_ints > 0").groupBy("digest").agg(F.min("rec_id").alias("class_id"), F.first("ints").alias("ints"))
+    bodies = settle(bodies.withColumn("node", F.monotonically_increasing_id()), "chroma-bodies")
+    classes = settle(bodies.select("digest", "class_id").join(linked(bodies, block), "digest", "left"), "chroma-classes")
+    rows = prints.select("rec_id", "n_ints", "digest").join(classes, "digest", "left")
+    class_id = F.when(F.col("n_ints") > 0, F.col("class_id")).otherwise(F.col("rec_id"))
+    return rows.select(
+        "rec_id", "n_ints", F.col("digest").alias("fingerprint_sha256"), class_id.alias("class_id"), F.col("b.to").alias("aligned_to"),
+        "b.offset", "b.votes", F.col("b.error").alias("bit_error"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+    )

@@ -409,6 +409,86 @@ def test_chroma_alignment_against_all_pairs(spark):
     assert want[4][1] == 3 and want[13][1] == want[14][1] == 12 and sum(x is not None for x in want.values()) > 15
 
 
+def all_links(media):
+    """How many other classes each recording is linked with, by comparing all pairs at all offsets."""
+    ints, classes = {k: chroma.fingerprint(v) for k, v in media.items()}, {}
+    for k in sorted(ints):
+        if len(ints[k]):
+            classes.setdefault(ints[k].tobytes(), k)
+    picked = {k: dict(zip(*(x.tolist() for x in chroma._picked(ints[k])[::-1]))) for k in classes.values()}
+    links = Counter()
+    for c in classes.values():
+        for to in (x for x in classes.values() if x < c):
+            votes = Counter(picked[c][key] - picked[to][key] for key in picked[c].keys() & picked[to].keys())
+            tried = [chroma.bit_error(ints[c], ints[to], offset) for offset, n in votes.items() if n >= chroma.MIN_VOTES]
+            if any(error <= chroma.MAX_BIT_ERROR and overlap >= chroma.MIN_OVERLAP for error, overlap in tried):
+                links[c] += 1
+                links[to] += 1
+    return {k: links[classes.get(x.tobytes())] for k, x in ints.items()}
+
+
+def test_chroma_links_against_all_pairs(spark):
+    """Every link counts, not only the best one, also where a key's holders are cut into blocks and where the offset of most votes fails."""
+    rng = np.random.default_rng(11)
+    sound = lambda n: rng.integers(0, 256, 32 * n, dtype=np.uint8)
+    base, rows = sound(150), {}
+    for k in range(14):  # near copies in a chain: those far apart are less alike
+        at = int(rng.integers(0, 140))
+        base = np.concatenate([base[: 32 * at], sound(4), base[32 * (at + 4) :]])
+        rows[k] = base
+    common = sound(60)
+    rows |= {20 + k: np.concatenate([sound(int(rng.integers(10, 30))), common, sound(9)]) for k in range(9)}
+    # Most keys agree where 41 lies within 40, but there only a part of the whole overlap does; at the ends all of it does.
+    p, q = sound(60), sound(40)
+    rows |= {40: np.concatenate([q, sound(60), p, sound(60)]), 41: np.concatenate([sound(100), p, sound(80), q])}
+    rows |= {50: rows[3], 51: np.empty(0, np.uint8)}
+    media = {k: x.tobytes() for k, x in rows.items()}
+    want = all_links(media)
+    assert want[50] == want[3] > 5 and want[40] == want[41] == 1 and best_alignments(media)[41] is None
+    table = spark.createDataFrame(list(media.items()), "id long, media binary")
+    for block in (chroma.BLOCK, 3):
+        got = chroma.align(table, "id", "media", block).collect()
+        assert {r.rec_id: r.n_links for r in got} == want
+        assert next(r for r in got if r.rec_id == 41).aligned_to == 40
+
+
+def test_chroma_pairs_in_parts(monkeypatch):
+    """Pairs and their bits come out alike in one part and in many."""
+    rng = np.random.default_rng(13)
+    n = 40
+    lists = [np.sort(rng.choice(12, rng.integers(2, 9), replace=False)) for _ in range(n)]
+    key = np.sort([int(x[0]) for x in lists])
+    lists = [np.concatenate([[k], x[x > k]]) for k, x in zip(key, lists)]
+    places = [rng.integers(0, 3, len(x)).astype(np.int32) for x in lists]
+    rows = pa.table({"key": key, "lo": [0] * n, "hi": [0] * n, "mine": [0] * n, "pos": [0] * n, "keys": pa.array(lists), "places": pa.array(places)})
+    want = set()
+    for i in range(n):
+        for j in range(i):
+            both = [] if key[i] != key[j] else [(places[i][x] - places[j][y]) for x, k in enumerate(lists[i]) for y, m in enumerate(lists[j]) if k == m]
+            want |= {(i, j, int(o), v) for o, v in Counter(both).items() if v >= chroma.MIN_VOTES}
+    flat = rng.integers(0, 2**32, 20 * n, dtype=np.uint32)
+    size = np.full(n, 20)
+    for at_once in (1 << 20, 50, 1):
+        monkeypatch.setattr(chroma, "_PAIRS_AT_ONCE", at_once)
+        parts = list(chroma._candidates(rows, key - key[0]))
+        got = [x for part in parts for x in zip(*(c.tolist() for c in part))]
+        assert len(got) == len(set(got)) and set(got) == want and (len(parts) > 5 or at_once > 50)
+        later, earlier, offset, _ = (np.concatenate(c) for c in zip(*parts))
+        error, overlap = chroma.bit_errors(flat, size.cumsum() - size, size, later, earlier, offset)
+        body = lambda k: flat[20 * k : 20 * k + 20]
+        assert list(zip(error, overlap)) == [chroma.bit_error(body(a), body(b), o) for a, b, o in zip(later.tolist(), earlier.tolist(), offset.tolist())]
+
+
+def test_chroma_recordings_of_one_id(spark):
+    """Two recordings of one id are two classes; a recording without an id has links as well."""
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 256, 32 * 150, dtype=np.uint8)
+    near = [np.concatenate([base, rng.integers(0, 256, 32 * k, dtype=np.uint8)]).tobytes() for k in (5, 10, 15)]
+    got = chroma.align(spark.createDataFrame([(7, near[0]), (7, near[1]), (None, near[2])], "id long, media binary"), "id", "media").collect()
+    assert [r.n_links for r in got] == [2, 2, 2]
+    assert {(r.rec_id, r.aligned_to) for r in got} == {(7, None), (None, 7)}
+
+
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
 def test_queries_against_sql(spark, name):
     import duckdb
