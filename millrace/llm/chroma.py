@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.key_groups import GROUP, dealt, starts, whole_groups
 from millrace.session import settle, share_code
 
 RATE, FRAME, HOP = 8000, 256, 32
@@ -170,8 +171,6 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
 
 # --- pairs of classes -------------------------------------------------------
 
-_GROUP = ["key", "lo", "hi"]
-
 
 def _holders(shared: DataFrame, bodies: DataFrame, block: int) -> DataFrame:
     """A row for each key of a class that can be the first one of a pair, and for each pair of the key's blocks that the class is in."""
@@ -179,44 +178,11 @@ def _holders(shared: DataFrame, bodies: DataFrame, block: int) -> DataFrame:
     lists = lists.join(bodies.select("node", "class_id"), "node")
     # A pair has MIN_VOTES keys or more, so the first of them is never among a class's last ones.
     firsts = lists.select("node", "class_id", F.col("s.key").alias("keys"), F.col("s.place").alias("places"), F.posexplode(F.slice("s", 1, F.size("s") - (MIN_VOTES - 1))).alias("pos", "own"))
-    blocks = F.ceil(F.col("own.n") / block).cast("int")
-    firsts = firsts.select("node", "class_id", "keys", "places", "pos", F.col("own.key").alias("key"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("mine"))
-    firsts = firsts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return firsts.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "class_id", "pos", "keys", "places")
+    return dealt(firsts.select("node", "class_id", "pos", "keys", "places", F.col("own.key").alias("key"), F.col("own.n").alias("n")), block)
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, F.col("class_id").asc_nulls_last(), "node")
-
-
-def _whole_groups(batches):
-    """Tables of whole groups, each with the ordinals of its rows' groups."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = pa.Table.from_batches([batch])
-        held = new if held is None else pa.concat_tables([held, new]).combine_chunks()
-        group = _ordinals(held)
-        last = int(np.searchsorted(group, group[-1]))
-        if last:
-            yield held.slice(0, last).combine_chunks(), group[:last]
-            held = held.slice(last)
-    if held is not None:
-        held = held.combine_chunks()
-        yield held, _ordinals(held)
-
-
-def _ordinals(rows: pa.Table) -> np.ndarray:
-    by = np.stack([rows[c].to_numpy() for c in _GROUP])
-    return np.concatenate([[0], (by[:, 1:] != by[:, :-1]).any(axis=0).cumsum()])
-
-
-def _starts(*sorted_by: np.ndarray) -> np.ndarray:
-    """Where a run of equal values begins."""
-    new = np.ones(len(sorted_by[0]), bool)
-    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in sorted_by])
-    return np.flatnonzero(new)
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, F.col("class_id").asc_nulls_last(), "node")
 
 
 def _candidates(rows: pa.Table, group: np.ndarray):
@@ -228,13 +194,13 @@ def _candidates(rows: pa.Table, group: np.ndarray):
     before = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens) < rows["pos"].to_numpy()[row]
     order = np.lexsort((row, key, group[row]))
     row, key, place, before = row[order], key[order], place[order].astype(np.int64), before[order]
-    starts = _starts(key, group[row])
-    sizes = np.diff(np.append(starts, len(row)))
-    after = np.repeat(starts + sizes, sizes) - np.arange(len(row)) - 1  # holders of the same key that follow
+    runs = starts(key, group[row])
+    sizes = np.diff(np.append(runs, len(row)))
+    after = np.repeat(runs + sizes, sizes) - np.arange(len(row)) - 1  # holders of the same key that follow
     lefts = np.flatnonzero(after)
     lefts = lefts[np.argsort(row[lefts], kind="stable")]
     mine, lo, hi = (rows[c].to_numpy() for c in ("mine", "lo", "hi"))
-    ends = np.append(_starts(row[lefts])[1:], len(lefts)) if len(lefts) else lefts  # a row's keys stay together
+    ends = np.append(starts(row[lefts])[1:], len(lefts)) if len(lefts) else lefts  # a row's keys stay together
     work = np.append(0, np.cumsum(after[lefts]))
     at = 0
     while at < len(lefts):
@@ -251,9 +217,9 @@ def _candidates(rows: pa.Table, group: np.ndarray):
         pair, offset = row[one] * len(lens) + row[other], place[other] - place[one]
         order = np.lexsort((offset, pair))
         pair, offset, early = pair[order], offset[order], before[one][order]
-        runs = _starts(pair, offset)
+        runs = starts(pair, offset)
         votes = np.diff(np.append(runs, len(pair)))
-        pairs = _starts(pair)
+        pairs = starts(pair)
         elsewhere = np.repeat(np.logical_or.reduceat(early, pairs), np.diff(np.append(pairs, len(pair))))
         runs, votes = runs[(votes >= MIN_VOTES) & ~elsewhere[runs]], votes[(votes >= MIN_VOTES) & ~elsewhere[runs]]
         if len(runs):
@@ -262,7 +228,7 @@ def _candidates(rows: pa.Table, group: np.ndarray):
 
 def _with_candidates(batches):
     """The rows that have a candidate in their group."""
-    for rows, group in _whole_groups(batches):
+    for rows, group in whole_groups(batches):
         found = np.zeros(len(group), bool)
         for later, earlier, _, _ in _candidates(rows, group):
             found[later] = found[earlier] = True
@@ -287,7 +253,7 @@ def bit_errors(flat: np.ndarray, start: np.ndarray, size: np.ndarray, a: np.ndar
 
 def _linked(batches):
     """(node, links, to, offset, votes, error): how many links a row has in its group, and the best to an earlier one."""
-    for rows, group in _whole_groups(batches):
+    for rows, group in whole_groups(batches):
         bodies = rows["ints"].to_pylist()
         flat, size = np.frombuffer(b"".join(bodies), "<u4"), np.array([len(x) // 4 for x in bodies])
         start = np.cumsum(size) - size
@@ -301,13 +267,13 @@ def _linked(batches):
             good = good[np.lexsort((offset[good], np.abs(offset[good]), -votes[good], earlier[good], later[good]))]
             if not len(good):
                 continue
-            good = good[_starts(later[good], earlier[good])]
+            good = good[starts(later[good], earlier[good])]
             links += np.bincount(later[good], minlength=n) + np.bincount(earlier[good], minlength=n)
             good = good[name[later[good]] != name[earlier[good]]]
             good = good[np.lexsort((earlier[good], -votes[good], later[good]))]
             if not len(good):
                 continue
-            good = good[_starts(later[good])]
+            good = good[starts(later[good])]
             good = good[votes[good] > most[later[good]]]  # of equals, earlier parts have the smaller ids
             x = later[good]
             to[x], at[x], most[x], error[x] = earlier[good], offset[good], votes[good], wrong[good]

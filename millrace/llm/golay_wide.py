@@ -20,6 +20,12 @@ before it is shuffled where a sample shows it, so no task holds an unbounded gro
 is verified by the exact Jaccard similarity of the two sets of shingle hashes (64
 bits), and components are made of verified links only.
 
+A forest holds together only where all of its edges pass. So where a rejected edge
+leaves two components apart, all pairs of the members of such components that meet in
+a key, differ in few enough bits and are not yet together are verified as well, each
+in the first key that both have. Every pair that meets and has the similarity is
+then in one component; what that costs grows with the pairs that are near and fail.
+
 Which pairs meet is a matter of probability, which are linked is not. Documents
 with the same set of shingles are one node, known by a 128-bit digest of the set.
 Texts without words (nulls, too) have the empty set and are copies of each other;
@@ -44,7 +50,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import connected_components
 from millrace.llm.golay_dedup import golay, one_in, split_hot
-from millrace.session import settle, share_code
+from millrace.llm.key_groups import GROUP, dealt, starts, whole_groups
+from millrace.session import forget, settle, share_code
 
 SEGMENTS = 18
 TOGETHER = 2
@@ -54,8 +61,10 @@ SIMILARITY = 0.8
 #: How many standard deviations a candidate pair may differ by more than pairs of the similarity do.
 SPREAD = 2.3
 BLOCK = 1 << 16
+REST_BLOCK = 512  # where sets come along
 _SMALL_RUN = 64
 _PAIRS_AT_ONCE = 1 << 20
+_REST_PAIRS_AT_ONCE = 1 << 16
 _TEXTS_AT_ONCE = 64
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -381,14 +390,107 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, id_col: str, text_co
     return settle(got.where("hashes is not null").dropDuplicates(["node"]), "wide-sets")
 
 
-def verified(edges: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``edges`` whose sets have at least the Jaccard similarity, by their exact intersection."""
-    edges = settle(edges, "wide-candidates")
+def verified(edges: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The rows of ``edges`` whose sets have at least the Jaccard similarity, by their exact intersection; and the sets of all ends."""
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = _sets(docs, nodes.join(ends, "node").select("node", "first", "digest"), shingle, id_col, text_col)
     both = edges.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return settle(both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b"), "wide-verified")
+    return settle(both.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b"), "wide-verified"), sets
+
+
+# --- pairs whose forests fell apart -----------------------------------------
+
+
+def _crossing(rows: pa.Table, group: np.ndarray, most: int, together: int):
+    """(one, other) rows of different labels that meet in a key and are near, the nearest first, a part at a time."""
+    label, mine, lo, hi = (rows[c].to_numpy() for c in ("label", "mine", "lo", "hi"))
+    check = np.frombuffer(b"".join(rows["fp"].to_pylist()), np.int64).reshape(len(label), WORDS)[:, WORDS - CHECK :]
+    codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), "<i2").reshape(len(label), SEGMENTS)
+    runs, groups = starts(group, label), starts(group)
+    run_end = np.repeat(np.append(runs[1:], len(label)), np.diff(np.append(runs, len(label))))
+    after = np.append(groups[1:], len(label))[group - group[0]] - run_end
+    work = np.append(0, np.cumsum(after))
+    at = 0
+    while at < len(label):
+        to = max(at + 1, int(np.searchsorted(work, work[at] + _REST_PAIRS_AT_ONCE, "right")) - 1)
+        n = after[at:to]
+        one = np.repeat(np.arange(at, to), n)
+        other = run_end[one] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = to
+        far = _differing(check[one], check[other])
+        # A pair of one block belongs to the group of that block alone.
+        here = np.flatnonzero((far <= most) & ((lo[one] == hi[one]) | (mine[one] != mine[other])))
+        here = here[np.argsort(far[here], kind="stable")]
+        one, other = one[here], other[here]
+        meet = (codes[one] == codes[other]).sum(axis=1) >= together
+        if meet.any():
+            yield one[meet], other[meet]
+
+
+def _with_crossing(batches, most: int, together: int):
+    """The rows that have a pair in their group."""
+    for rows, group in whole_groups(batches):
+        found = np.zeros(len(group), bool)
+        for one, other in _crossing(rows, group, most, together):
+            found[one] = found[other] = True
+        yield from rows.filter(pa.array(found)).to_batches(max_chunksize=256)
+
+
+def _joined(batches, most: int, together: int, similarity: float):
+    """(a, b): labels that a pair of the similarity holds together."""
+    for rows, group in whole_groups(batches):
+        label, hashes = rows["label"].to_numpy(), rows["hashes"].combine_chunks()
+        ends = np.append(0, np.cumsum(hashes.value_lengths().to_numpy(zero_copy_only=False)))
+        hashes = hashes.flatten().to_numpy()
+        sets = [hashes[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        links = []
+        for parts in _crossing(rows, group, most, together):
+            for one, other in zip(*(x.tolist() for x in parts)):
+                x, y, p, q = sets[one], sets[other], top(label[one].item()), top(label[other].item())
+                if p == q or min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                    continue
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if common >= similarity * (len(x) + len(y) - common):
+                    root[max(p, q)] = min(p, q)
+                    links.append((label[one], label[other]))
+        links = np.array(links, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in links.T], ["a", "b"])
+
+
+def rest(edges: DataFrame, good: DataFrame, labelled: DataFrame, sets: DataFrame, similarity: float, together: int, block: int) -> DataFrame | None:
+    """(a, b) labels that belong together though the forests' edges between them were rejected; None where no rejected edge leaves two labels apart.
+
+    ``labelled`` (node, label, fp, codes) are the nodes with the component that the ``good`` of ``edges`` give them.
+    All nodes of a family are ends of edges, so ``sets`` has them.
+    """
+    label = labelled.select("node", "label")
+    bad = edges.join(good, ["a", "b"], "left_anti")
+    bad = bad.join(label.toDF("a", "p"), "a").join(label.toDF("b", "q"), "b").where("p != q")
+    apart = settle(bad.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct(), "wide-apart")
+    if apart.isEmpty():
+        return None
+    nodes = settle(labelled.join(connected_components(apart).toDF("label", "key"), "label"), "wide-families")
+    sizes = nodes.groupBy("key").agg(F.count("*").alias("n"))
+    rows = dealt(nodes.select("key", "node", "label", "fp", "codes").join(sizes, "key"), min(block, REST_BLOCK))
+    most = most_differing(similarity)
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "label", "node")
+
+    layout = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    found = settle(grouped(rows).mapInArrow(lambda it: _with_crossing(it, most, together), layout), "wide-rest-found")
+    joined = grouped(found.join(sets, "node")).mapInArrow(lambda it: _joined(it, most, together, similarity), "a long, b long")
+    out = settle(joined.distinct(), "wide-rest-links")
+    forget(apart, nodes, found)
+    return out
 
 
 # --- the operator -----------------------------------------------------------
@@ -401,9 +503,16 @@ def near_duplicates(
     prints = settle(with_fingerprints(docs, shingle, id_col, text_col), "wide-fingerprints")
     nodes = prints.where("doc_id is not null").groupBy("digest", "fp", "codes").agg(F.min("doc_id").alias("first"))
     nodes = settle(nodes.withColumn("node", F.monotonically_increasing_id()), "wide-nodes")  # written once, so a node keeps its number
-    edges = verified(candidates(nodes, most_differing(similarity), together, block), docs, nodes, similarity, shingle, id_col, text_col)
-    members = connected_components(edges)
-    rooted = settle(nodes.join(members, "node", "left").select("digest", "first", F.coalesce("component", "node").alias("root")), "wide-roots")
+    edges = settle(candidates(nodes, most_differing(similarity), together, block), "wide-candidates")
+    good, sets = verified(edges, docs, nodes, similarity, shingle, id_col, text_col)
+    labelled = nodes.join(connected_components(good), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    labelled = settle(labelled, "wide-labelled")
+    more = rest(edges, good, labelled, sets, similarity, together, block)
+    rooted = labelled.select("digest", "first", F.col("label").alias("root"))
+    if more is not None:
+        roots = connected_components(more).toDF("label", "component")
+        rooted = labelled.join(roots, "label", "left").select("digest", "first", F.coalesce("component", "label").alias("root"))
+    rooted = settle(rooted, "wide-roots")
     named = settle(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "wide-components")
     named = settle(rooted.join(named, "root").select("digest", "component_id"), "wide-named")
     return prints.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", "component_id")

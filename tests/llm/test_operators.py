@@ -196,6 +196,38 @@ def test_wide_links_against_all_pairs(spark):
     assert golay_wide.keep_one(docs).count() == len(set(golay_wide.near_duplicates(docs).toPandas().component_id))
 
 
+def test_wide_links_beyond_rejected_edges(spark):
+    """Texts of which many pairs are just below the similarity: components are those of all pairs that meet, are near and pass, though a forest's edges fail."""
+    texts = []
+    for seed in (3, 4, 5):  # in each, two texts that pass had no path of edges that pass
+        rng = random.Random(seed)
+        base = [str(rng.randrange(10**6)) for _ in range(rng.randint(40, 80))]
+        for _ in range(100):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), rng.randint(0, 1 + len(base) // 20)):
+                copy[at] = "changed" + str(rng.randrange(10**6))
+            texts.append(" ".join(copy[: rng.randint(len(copy) * 7 // 10, len(copy))]))
+    sets = [golay_wide.shingles(t, 5) for t in texts]
+    votes = np.stack([golay_wide.votes(x) for x in sets])
+    codes, fps = golay_wide.codewords(votes), np.packbits(votes > 0, axis=1).view(np.int64)[:, golay_wide.WORDS - golay_wide.CHECK :]
+    most = golay_wide.most_differing()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block, together in ((1 << 16, 2), (3, 2), (1 << 16, 3)):
+        keys = golay_wide.keys_of(codes, together)
+        x, y = np.triu_indices(len(texts), 1)
+        near = ((keys[x] == keys[y]).any(axis=1)) & (np.bitwise_count((fps[x] ^ fps[y]).view(np.uint64)).sum(axis=1) <= most)
+        links = []
+        for i, j in zip(x[near].tolist(), y[near].tolist()):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+                links.append((i, j))
+        assert len(links) < near.sum() * 0.9
+        a, b = np.array(links).T
+        want = golay_wide._merged(np.arange(len(texts)), a, b).tolist()
+        got = dict(golay_wide.near_duplicates(docs, block=block, together=together).toPandas().itertuples(index=False))
+        assert [got[k] for k in range(len(texts))] == want
+
+
 def test_forests_against_all_pairs():
     """Forests of few and of many rows connect what the pairs within the limit connect."""
     rng = np.random.default_rng(3)
