@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Sequence
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.batches import sliced
 from millrace.functions.filters import bound
 from millrace.functions.tables import CODE_LANGUAGES
 
@@ -73,35 +75,48 @@ def chunk_rows(df, text: str = "text", size: int = 500, overlap: int = 100):
     return df.select("*", F.posexplode(paragraphs(F.col(text), size, overlap)).alias("chunk_index", "chunk"))
 
 
-def split_recursive(text: str, size: int, overlap: int, separators: Sequence[str] = ("\n\n", "\n", " ", "")) -> list[str]:
-    """Pieces split at the first separator that occurs, too long ones at the next, then merged up to ``size`` with overlap."""
-    _check(size, overlap)
+def _ends(text: str, begin: int, end: int, size: int, separators: Sequence[str]) -> Iterator[int]:
+    """Where the pieces of text[begin:end] end: up to ``size`` characters, cut before the first separator that occurs and, too long ones, the next."""
+    if end - begin <= size:
+        if begin < end:
+            yield end
+        return
+    for k, sep in enumerate(separators):
+        if not sep:
+            break
+        at = text.find(sep, begin, end)
+        if at < 0:
+            continue
+        further = separators[k + 1 :] or ("",)
+        while begin < end:
+            stop = at if at >= 0 else end
+            if stop - begin > size:
+                yield from _ends(text, begin, stop, size, further)
+            elif begin < stop:
+                yield stop
+            begin, at = stop, text.find(sep, stop + len(sep), end)
+        return
+    yield from range(begin + 1, end + 1)
 
-    def atoms(t: str, seps: Sequence[str]) -> list[str]:
-        if len(t) <= size:
-            return [t] if t else []
-        for k, sep in enumerate(seps):
-            if not sep:
-                return [t[i : i + 1] for i in range(len(t))]
-            if sep in t:
-                parts = t.split(sep)
-                parts = [parts[0], *[sep + p for p in parts[1:]]]
-                return [a for p in parts for a in atoms(p, seps[k + 1 :] or ("",))]
-        return [t[i : i + 1] for i in range(len(t))]
 
+def split_recursive(text: str, size: int, overlap: int, separators: Sequence[str] = ("\n\n", "\n", " ", "")) -> list[str]:
+    """Pieces split at the first separator that occurs, too long ones at the next, then merged up to ``size`` with overlap.
+
+    Pieces follow one another without gaps, so places in the text stand for them and none is held but those of a chunk.
+    """
+    _check(size, overlap)
     out: list[str] = []
-    held: list[str] = []
-    length = 0
-    for a in atoms(text, separators):
-        if held and length + len(a) > size:
-            out.append("".join(held))
-            while held and (length > overlap or length + len(a) > size):
-                length -= len(held.pop(0))
-        held.append(a)
-        length += len(a)
-    if held:
-        out.append("".join(held))
-    return [x.strip() for x in out if x.strip()]
+    held: deque[int] = deque()  # where the pieces of text[first:last] end
+    first = last = 0
+    for end in _ends(text, 0, len(text), size, separators):
+        if held and end - first > size:
+            out.append(text[first:last].strip())
+            while held and (last - first > overlap or end - first > size):
+                first = held.popleft()
+        held.append(end)
+        last = end
+    out.append(text[first:last].strip())
+    return [x for x in out if x]
 
 
 #: Separators by language family, tried before the general ones (fixed values).
@@ -129,11 +144,11 @@ def split_json(value, size: int = 2000, at: str = "$") -> list[str]:
 
 
 def splitter(split: Callable[..., list[str]], **options) -> Callable[[Column], Column]:
-    """A text splitter as an Arrow-batched column function."""
+    """A text splitter as a column function over slices of Arrow batches."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split(t, **options) if t else [])
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return sliced(batches, lambda t: split(t, **options) if t else [], pa.list_(pa.string()))
 
     return run
 

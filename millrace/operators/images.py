@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.chunk import split_recursive
+from millrace.functions.chunk import split_recursive, splitter
 from millrace.functions.filters import bound
 from millrace.session import share_code
 
@@ -46,11 +46,7 @@ def _resolved(paths: pd.Series, file: pd.Series) -> pd.Series:
 def image_chunks(texts: DataFrame, path: str = "path", text: str = "text", size: int = 2000, overlap: int = 300) -> DataFrame:
     """(path, chunk_index, text, images): the chunks that show images, without the marks; texts without images give none."""
     share_code(texts.sparkSession)
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cut(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda t: split_recursive(t, size, overlap) if t else [])
-
+    cut = splitter(split_recursive, size=size, overlap=overlap)
     rows = texts.where(F.col(text).rlike(IMAGE)).select(path, images_of(F.col(text)).alias("all"), cut(with_marks(F.col(text))).alias("chunks"))
     rows = rows.select(path, "all", F.posexplode("chunks").alias("chunk_index", "chunk")).withColumn("places", marked_places(F.col("chunk"))).where(F.size("places") > 0)
     shown = F.transform("places", lambda k: F.element_at("all", k + 1))

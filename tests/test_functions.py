@@ -162,3 +162,58 @@ def test_windows_against_slices(spark):
             n, step = len(r.x), size - overlap
             starts = range(0, max(n - overlap, 1), step) if n > size else [0] if n else []
             assert r.y == [r.x[s : s + size] for s in starts], (size, overlap, n)
+
+
+def test_recursive_pieces_of_a_long_text_are_not_held():
+    import tracemalloc
+
+    for text in ("漢" * 300_000, "ab " * 100_000):
+        tracemalloc.start()
+        parts = chunk.split_recursive(text, 500, 100)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert max(map(len, parts)) <= 500
+        assert peak < 1.5 * sum(x.__sizeof__() for x in parts) + 100_000, peak
+
+
+def test_recursive_pieces_against_lists():
+    import random
+
+    def atoms(t, size, seps):
+        if len(t) <= size:
+            return [t] if t else []
+        for k, sep in enumerate(seps):
+            if sep and sep in t:
+                parts = t.split(sep)
+                return [a for p in (parts[0], *[sep + p for p in parts[1:]]) for a in atoms(p, size, seps[k + 1 :])]
+        return list(t)
+
+    def merged(pieces, size, overlap):
+        out, held = [], []
+        for a in pieces:
+            if held and len("".join(held)) + len(a) > size:
+                out.append("".join(held).strip())
+                while held and (len("".join(held)) > overlap or len("".join(held)) + len(a) > size):
+                    held.pop(0)
+            held.append(a)
+        return [x for x in [*out, "".join(held).strip()] if x]
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choices(["a", "bc", " ", "\n", "\n\n", "\n\n\n", "漢", "😀", "\t", "word"], k=rng.randint(0, 40)))
+        size = rng.randint(1, 20)
+        overlap, seps = rng.randint(0, size - 1), rng.choice([("\n\n", "\n", " ", ""), ("\n", " "), ("bc", "b"), ()])
+        assert chunk.split_recursive(text, size, overlap, seps) == merged(atoms(text, size, seps), size, overlap), (text, size, overlap, seps)
+
+
+def test_splitter_gives_slices_of_a_batch(spark):
+    import pyarrow as pa
+
+    texts = [None, "", *["word " * k for k in (100_000, 150_000, 1, 400_000, 300)], None, *["ab cd " * 700] * 600, ""]
+    want = [chunk.split_recursive(t, 500, 100) if t else [] for t in texts]
+    cut = chunk.splitter(chunk.split_recursive, size=500, overlap=100)
+    parts = list(cut.func(iter([pa.array(texts), pa.array([], pa.string()), pa.array(["x"])])))
+    assert [r for p in parts for r in p.to_pylist()] == [*want, ["x"]]
+    assert all(p.nbytes < 4 << 20 for p in parts)  # a batch's chunks are never there at once
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1).select("k", cut("t").alias("c"))
+    assert {r.k: r.c for r in rows.collect()} == dict(enumerate(want))
