@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.batches import sliced
 
 _written_out = ContextVar("written_out", default=False)
 
@@ -40,19 +42,19 @@ def computed(df: DataFrame, name: str, c: Column) -> DataFrame:
     return df.select(*[x for x in df.columns if x != name], F.explode(F.array(c)).alias(name))
 
 
-@F.pandas_udf(T.DoubleType())
-def bigram_peak(texts: pd.Series) -> pd.Series:
-    """Share of the most common two-character piece at offsets 0, 2, 4, ...; an odd last character is left out; null below two characters."""
+def _peak(text: str | None) -> float | None:
+    if text is None or len(text) < 2:
+        return None
+    pieces = np.frombuffer(text[: len(text) // 2 * 2].encode("utf-32-le", "surrogatepass"), np.uint64)
+    ordered = np.sort(pieces)
+    ends = np.flatnonzero(np.append(ordered[1:] != ordered[:-1], True))
+    return float(np.diff(ends, prepend=-1).max() / len(pieces))
 
-    def peak(text: str | None) -> float | None:
-        if text is None or len(text) < 2:
-            return None
-        pieces = np.frombuffer(text[: len(text) // 2 * 2].encode("utf-32-le", "surrogatepass"), np.uint64)
-        ordered = np.sort(pieces)
-        ends = np.flatnonzero(np.append(ordered[1:] != ordered[:-1], True))
-        return float(np.diff(ends, prepend=-1).max() / len(pieces))
 
-    return texts.map(peak).astype(object)
+@F.arrow_udf(T.DoubleType())
+def bigram_peak(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Share of the most common two-character piece at offsets 0, 2, 4, ...; an odd last character is left out; null below two characters."""
+    return sliced(batches, _peak, pa.float64())
 
 
 def few_repeats(c: Column, most: float = 0.6) -> Column:

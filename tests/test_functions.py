@@ -217,3 +217,23 @@ def test_splitter_gives_slices_of_a_batch(spark):
     assert all(p.nbytes < 4 << 20 for p in parts)  # a batch's chunks are never there at once
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1).select("k", cut("t").alias("c"))
     assert {r.k: r.c for r in rows.collect()} == dict(enumerate(want))
+
+
+def test_repeats_of_a_batch_are_counted_in_slices(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [None, "", "a", "abab", "abcdefg", *["ab" * 150_000 + "cd" * 150_000, "漢字" * 100_000] * 12, "", None, "xyxyz"]
+    want = [None, None, None, 1.0, 1 / 3, *[0.5, 1.0] * 12, None, None, 1.0]
+    batches = [pa.array(texts), pa.array([], pa.string()), pa.array([None, "aabb"])]
+    tracemalloc.start()
+    parts = list(filters.bigram_peak.func(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x for p in parts for x in p.to_pylist()] == [*want, None, 0.5]
+    assert peak < batches[0].nbytes, peak  # the texts of a batch are never there at once as strings
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1)
+    got = rows.select("k", filters.bigram_peak("t").alias("s"), filters.few_repeats(F.col("t")).alias("f")).collect()
+    assert {r.k: r.s for r in got} == dict(enumerate(want))
+    assert {r.k for r in got if r.f} == {r.k for r in rows.where(filters.few_repeats(F.col("t"))).collect()} == {k for k, s in enumerate(want) if s is not None and s <= 0.6}
